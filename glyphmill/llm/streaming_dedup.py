@@ -23,6 +23,8 @@ STATE_CONF = {
     # One bound for all stores of an executor, not one for each.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else each store reserves megabytes on disk before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -114,34 +116,36 @@ def dedup_files(
     x = lambda name: F.col(f"{w}.{name}")
     hit = small(many.select(F.struct(*many.columns).alias("hit")))
     looked = rows.join(hit, x("digest") == F.col("hit.digest"), "left")
-    hex_of = F.sha2(x("body"), 256)
-
-    single = looked.filter(F.col("hit").isNull()).select(
-        *[F.col(f"`{c}`") for c in carried], x("ref.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hex_of.alias("text_sha256")
+    hex_of = F.lower(F.hex(x("digest"))) if digest is sha256 else F.sha2(x("body"), 256)
+    keep = [F.col(f"`{c}`") for c in carried]
+    out = looked.filter(F.col("hit").isNull()).select(
+        *keep, x("ref.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hex_of.alias("text_sha256")
     )
     copies = looked.filter(F.col("hit").isNotNull())
     at_ref = (x("ref.file") == F.col("hit.keep.file")) & (x("ref.row") == F.col("hit.keep.row"))
     kept_body = copies.filter(at_ref).select(x("digest").alias("kept_digest"), x("body").alias("kept_body"))
-    checked = copies.join(kept_body, x("digest") == F.col("kept_digest"))
     same = x("body") == F.col("kept_body")
-    collided = cut(checked.filter(~same).select(x("digest").alias("digest"), x("body").alias("body"), x("ref").alias("ref")))
-    lost = collided.groupBy("digest").agg(F.count("*").alias("lost"))
-    if collided.isEmpty():
-        size = F.col("hit.n")
-    else:
-        checked = checked.join(lost.withColumnRenamed("digest", "lost_digest"), x("digest") == F.col("lost_digest"), "left")
-        size = F.col("hit.n") - F.coalesce(F.col("lost"), F.lit(0))
+    checked = copies.join(kept_body, x("digest") == F.col("kept_digest")).select(
+        *keep,
+        F.struct(
+            x("digest").alias("digest"), x("ref").alias("ref"), F.col("hit.keep").alias("keep"), F.col("hit.n").alias("n"), same.alias("same"), at_ref.alias("at_ref"), hex_of.alias("hex"),
+            F.when(~same, x("body")).alias("body"),
+        ).alias(w),
+    )
+    if text_col not in carried:
+        checked = cut(checked)  # without texts the rows are narrow, and both uses below read them from there
+    collided = cut(checked.filter(~x("same")).select(x("digest").alias("digest"), x("body").alias("body"), x("ref").alias("ref")))
+    size = x("n")
+    if not collided.isEmpty():
+        lost = collided.groupBy("digest").agg(F.count("*").alias("lost")).withColumnRenamed("digest", "lost_digest")
+        checked = checked.join(lost, x("digest") == F.col("lost_digest"), "left")
+        size = x("n") - F.coalesce(F.col("lost"), F.lit(0))
         apart = collided.groupBy("digest", "body").agg(F.min("ref").alias("keep"), F.count("*").alias("n"))
         apart = apart.select(F.struct("digest", "body", "keep", "n").alias("apart"))
-        regrouped = (
-            checked.filter(~same).join(apart, (x("digest") == F.col("apart.digest")) & (x("body") == F.col("apart.body")))
-            .select(*[F.col(f"`{c}`") for c in carried], F.col("apart.keep.id").alias("keep_id"), F.col("apart.n").alias("group_size"), (x("ref") == F.col("apart.keep")).alias("kept"), hex_of.alias("text_sha256"))
-        )
-        single = single.unionByName(regrouped)
-    agreed = checked.filter(same).select(
-        *[F.col(f"`{c}`") for c in carried], F.col("hit.keep.id").alias("keep_id"), size.alias("group_size"), at_ref.alias("kept"), hex_of.alias("text_sha256")
-    )
-    return single.unionByName(agreed)
+        regrouped = checked.filter(~x("same")).join(apart, (x("digest") == F.col("apart.digest")) & (x("body") == F.col("apart.body")))
+        out = out.unionByName(regrouped.select(*keep, F.col("apart.keep.id").alias("keep_id"), F.col("apart.n").alias("group_size"), (x("ref") == F.col("apart.keep")).alias("kept"), x("hex").alias("text_sha256")))
+    agreed = checked.filter(x("same")).select(*keep, x("keep.id").alias("keep_id"), size.alias("group_size"), x("at_ref").alias("kept"), x("hex").alias("text_sha256"))
+    return out.unionByName(agreed)
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
