@@ -1,2 +1,319 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries over the driver's tables, one per operator, and SQL for those that SQL can express.
+
+The documents hold accented Latin letters only, so security operators run on texts that an attack
+generator or an injected character has changed; where SQL is given it makes the same change or
+states what the operator must restore.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import attacks, metadata, native, udfs
+from ..functions.security import Lexicon
+from ..functions.tables import load
+from ..operators import datasets
+from . import presets
+from .text_column import TextCol
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def per_document(name: str, make, sql: str | None = None) -> None:
+    """Register a query that maps the whole text of every document: doc_id, value."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _docs(spark, sf_dir).select("doc_id", make(F.col("text")).alias("value"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE[name] = f"SELECT doc_id, {sql} AS value FROM documents"
+
+
+# What the documents' alphabet allows in SQL.
+_FOLD = "replace(lower(text), 'ß', 'ss')"
+_ROMAN = "strip_accents(replace(text, 'ß', 'ss'))"
+_COLLAPSED = r"trim(regexp_replace({}, '[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}]+', ' ', 'g'), ' ')"
+_KEY = _COLLAPSED.format(f"strip_accents({_FOLD})")
+# Confusable characters that the documents hold: | " ` ´ and the cedilla.
+_VISUAL = "replace(replace(replace(replace(replace({}, '|', 'l'), '\"', ''''''), '`', ''''), 'ç', 'c'), 'Ç', 'C')"
+
+
+def _around(c: Column, extra: str) -> Column:
+    """The extra characters after the third character of a text."""
+    return F.concat(F.substring(c, F.lit(1), F.lit(3)), F.lit(extra), F.substring(c, F.lit(4), F.length(c)))
+
+
+# 1. Normalisation, case, accents, white space, invisible characters
+
+per_document("normalize_nfc", lambda c: native.normalize(native.normalize(c, "NFD"), "NFC"), "nfc_normalize(text)")
+per_document("normalize_nfkc", lambda c: native.normalize(F.concat(c, F.lit("ﬁ²Ⅷ")), "NFKC"), "nfc_normalize(text) || 'fi2VIII'")
+per_document("normalize_nfd_length", lambda c: F.length(native.normalize(c, "NFD")).cast("long"), "CAST(length(text) + length(text) - length(regexp_replace(text, '[éóèñçüêäöíÉÓÈÑÇÜÊÄÖÍ]', '', 'g')) AS BIGINT)")
+per_document("normalize_nfkd_length", lambda c: F.length(native.normalize(c, "NFKD")).cast("long"), "CAST(length(text) + length(text) - length(regexp_replace(text, '[éóèñçüêäöíÉÓÈÑÇÜÊÄÖÍ]', '', 'g')) AS BIGINT)")
+per_document("is_normalized", lambda c: native.is_normalized(c, "NFC"), "text = nfc_normalize(text)")
+per_document("fold_case", native.fold_case, _FOLD)
+per_document("strip_accents", native.strip_accents, "strip_accents(text)")
+per_document("collapse_whitespace", lambda c: native.collapse_whitespace(_around(c, "  \u3000 \u2800")), _COLLAPSED.format("left(text, 3) || ' ' || substr(text, 4)"))
+per_document("strip_control_chars", lambda c: native.strip_control_chars(_around(c, "\x01\x00\x7f\x9f".replace("\x00", "\x02"))), "text")
+per_document("strip_zero_width_chars", lambda c: native.strip_zero_width_chars(attacks.invisible(c)), "text")
+per_document("strip_bidi", lambda c: native.strip_bidi(attacks.bidi(c)), "text")
+per_document("strip_tags", lambda c: native.strip_tags(_around(c, "\U000E0041\U000E0062")), "text")
+per_document("strip_variation_selectors", lambda c: native.strip_variation_selectors(_around(c, "\uFE0F\U000E0101")), "text")
+per_document("strip_noncharacters", lambda c: native.strip_noncharacters(_around(c, "\uFDD0\U0001FFFE")), "text")
+per_document("strip_pua", lambda c: native.strip_pua(_around(c, "\uE001\U000F0001")), "text")
+per_document("strip_invisible", lambda c: native.strip_invisible(_around(c, "\u034F\U000E0041\uFE0F\uE001\uFDD0")), "text")
+per_document("strip_invisible_rendering", lambda c: native.strip_invisible(_around(c, "\u034F\U000E0041\uE001\uFDD0"), "rendering"), "left(text, 3) || chr(57345) || substr(text, 4)")
+per_document("is_zalgo", lambda c: native.is_zalgo(F.concat(c, F.when(F.col("doc_id") % 2 == 0, F.lit("á\u0300\u0302\u0303")).otherwise(F.lit("á")))), "doc_id % 2 = 0")
+per_document("strip_zalgo", lambda c: native.strip_zalgo(native.strip_accents(attacks.zalgo(native.strip_accents(c)))), "strip_accents(text)")
+per_document("is_ascii", native.is_ascii, r"NOT regexp_matches(text, '[^\x00-\x7F]')")
+
+# 2. Transliteration
+
+per_document("transliterate", udfs.transliterate, _ROMAN)
+per_document("transliterate_german", lambda c: udfs.transliterate(c, lang="de"), "strip_accents(" + "".join("replace(" for _ in range(7)) + "text" + "".join(f", '{a}', '{b}')" for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss"))) + ")")
+per_document("transliterate_auto", lambda c: udfs.transliterate(c, lang="auto"))
+per_document("transliterate_cyrillic", lambda c: udfs.transliterate(F.concat(c, F.lit(" Москва")), errors="ignore"), _ROMAN + " || ' Moskva'")
+per_document("transliterate_iso9", lambda c: udfs.transliterate(F.concat(c, F.lit(" Юрий")), strict_iso9=True), _ROMAN + " || ' Jurij'")
+per_document("transliterate_gost7034", lambda c: udfs.transliterate(F.concat(c, F.lit(" хай")), gost7034=True), _ROMAN + " || ' xaj'")
+per_document("transliterate_tones", lambda c: udfs.transliterate(F.concat(c, F.lit(" 北")), tones=True), _ROMAN + " || ' běi'")
+per_document("reverse_transliterate", lambda c: udfs.transliterate(F.lit("Moskva Shch"), target="ru"), "'Москва Щ'")
+per_document("unidecode", udfs.unidecode, _ROMAN)
+per_document("find_untranslatable", lambda c: F.element_at(udfs.find_untranslatable(F.concat(c, F.lit("\uE001"))), -1)["byte_offset"], "CAST(strlen(text) AS INTEGER)")
+
+
+@query("""WITH u AS (SELECT DISTINCT source FROM documents) SELECT doc_id, upper(source) AS transliterated FROM documents JOIN u USING (source)""")
+def dedup_transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.upper("source").alias("source"))
+    return datasets.dedup_transliterate(rows, "source").select("doc_id", "transliterated")
+
+
+# 3. Presets, pipelines, keys
+
+per_document("canonicalize", lambda c: udfs.canonicalize(attacks.combined(c)), _COLLAPSED.format(_VISUAL.format("text")))
+per_document("canonicalize_strict", lambda c: udfs.canonicalize_strict(attacks.combined(c)), _COLLAPSED.format(_VISUAL.format("text")))
+per_document("strip_obfuscation", lambda c: udfs.strip_obfuscation(attacks.zalgo(c)), _COLLAPSED.format(f"strip_accents({_VISUAL.format('text')})"))
+per_document("strip_format", lambda c: native.strip_format(attacks.bidi(attacks.invisible(c))), _COLLAPSED.format("text"))
+per_document("ml_normalize", udfs.ml_normalize, _KEY)
+per_document("ml_normalize_keep_case", lambda c: udfs.ml_normalize(c, fold_case=False), _COLLAPSED.format("strip_accents(text)"))
+per_document("catalog_key", udfs.catalog_key, _COLLAPSED.format(f"strip_accents({_VISUAL.format(_FOLD)})"))
+per_document("search_key", udfs.search_key, _KEY)
+per_document("sort_key", udfs.sort_key, _COLLAPSED.format(_FOLD))
+per_document("fluent_builder", lambda c: TextCol(c).strip_bidi().fold_case().strip_accents().collapse_whitespace().value, _KEY)
+per_document("text_pipeline", lambda c: udfs.apply_pipeline(c, presets.Pipeline(normalize="NFKC", strip_accents=True, fold_case=True, collapse_whitespace=True)), _COLLAPSED.format(f"replace(lower(strip_accents(text)), 'ß', 'ss')"))
+for _profile in presets.list_profiles():
+    _sql = {
+        "library_catalog_key_eu": _COLLAPSED.format(f"lower({_VISUAL.format(_ROMAN)})"), "ml_corpus_normalize": _COLLAPSED.format("replace(lower(strip_accents(text)), 'ß', 'ss')"),
+        "normalize_web_input": _COLLAPSED.format(_VISUAL.format("text")), "rag_ingest": _COLLAPSED.format(_ROMAN), "search_index": _COLLAPSED.format(f"lower({_ROMAN})"),
+        "llm_guardrail": _COLLAPSED.format("replace(lower(" + _VISUAL.format("strip_accents(text)") + "), 'ß', 'ss')"), "scholarly_cyrillic_iso9": _COLLAPSED.format(f"lower({_ROMAN})"),
+    }
+    per_document(f"profile_{_profile}", lambda c, p=_profile: udfs.apply_pipeline(c, p), _sql.get(_profile))
+
+
+@query(f"SELECT {_KEY} AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def search_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: documents grouped by search key."""
+    return datasets.key_groups(_docs(spark, sf_dir), udfs.search_key("text"), "doc_id")
+
+
+@query(f"SELECT {_KEY} AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def native_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same key for texts in Latin letters, in the JVM alone."""
+    return datasets.key_groups(_docs(spark, sf_dir), TextCol("text").normalize("NFKC").fold_case().strip_accents().collapse_whitespace().value, "doc_id")
+
+
+# 4. Confusables
+
+per_document("normalize_confusables", lambda c: udfs.normalize_confusables(attacks.homoglyph(c)), _VISUAL.format("text"))
+per_document("normalize_confusables_cyrillic", lambda c: udfs.normalize_confusables(F.regexp_replace(c, "[^aceopxy ]", ""), target_script="cyrillic"), "translate(regexp_replace(text, '[^aceopxy ]', '', 'g'), 'aceopxy', 'асеорху')")
+per_document("normalize_confusables_tr39", lambda c: udfs.normalize_confusables(F.lit("٥٠"), digit_policy="tr39"), "'o.'")
+per_document("is_confusable", lambda c: udfs.is_confusable(c), r"regexp_matches(text, '[|\"`çÇ]')")
+per_document("find_unmapped_confusables", lambda c: F.size(udfs.find_unmapped_confusables(c)).cast("long"))
+
+
+@query()
+def unmapped_confusables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = load(spark)
+    upstream = spark.createDataFrame([(chr(c),) for c in sorted(tables.upstream)], "src string")
+    return upstream.join(confusable_table(spark), "src", "left_anti")
+
+
+def confusable_table(spark: SparkSession, target: str = "latin") -> DataFrame:
+    return spark.createDataFrame([(chr(k), v) for k, v in load(spark).confusables(target).items()], "src string, dst string")
+
+
+# 5. Scripts, direction, language
+
+per_document("detect_scripts", lambda c: F.array_join(native.detect_scripts(F.concat(c, F.lit("яא"))), ","), "CASE WHEN regexp_matches(text, '[A-Za-zÀ-ʯ]') THEN 'Latin,' ELSE '' END || 'Cyrillic,Hebrew'")
+per_document("is_mixed_script", lambda c: F.size(native.detect_scripts(F.when(F.col("doc_id") % 2 == 0, F.concat(c, F.lit("я"))).otherwise(c))) > 1, "doc_id % 2 = 0 AND regexp_matches(text, '[A-Za-zÀ-ʯ]')")
+per_document("has_bidi_conflict", lambda c: native.has_bidi_conflict(F.when(F.col("doc_id") % 2 == 0, F.concat(c, F.lit("א"))).otherwise(c)), "doc_id % 2 = 0 AND regexp_matches(text, '[A-Za-zÀ-ʯ]')")
+per_document("inspect_auto_lang", lambda c: udfs.auto_lang(c)["lang"], "CASE WHEN regexp_matches(left(text, 2000), '[ßẞ]') THEN 'de' END")
+
+
+@query("""SELECT lang, CASE WHEN g = 1 THEN 'Latin' END AS script, count(*) AS n FROM (
+  SELECT lang FROM documents WHERE regexp_matches(text, '[A-Za-zÀ-ʯ]') UNION ALL SELECT NULL FROM documents WHERE regexp_matches(text, '[A-Za-zÀ-ʯ]')), (VALUES (0), (1)) v(g) GROUP BY ALL""")
+def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.script_profile(_table(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query()
+def language_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.lang_meta(spark)
+
+
+@query()
+def script_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.script_meta(spark)
+
+
+# 6. Host names and anomalies
+
+_HOST = r"regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+
+
+@query(f"""SELECT page_id, {_HOST} AS canonical, page_id % 2 = 0 AND regexp_matches({_HOST}, '[aceopxysij]') AS suspicious FROM pages""")
+def hostname_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
+    attacked = F.when(F.col("page_id") % 2 == 0, attacks.homoglyph(host)).otherwise(host)
+    out = datasets.screen_hosts(_table(spark, sf_dir, "pages").select("page_id", attacked.alias("name")), "name")
+    return out.select("page_id", "host.canonical", "host.suspicious")
+
+
+@query(f"""SELECT page_id, replace(replace(replace({_HOST}, 'rn', 'm'), 'vv', 'w'), 'cl', 'd') AS canonical FROM pages""")
+def hostname_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "pages").select("page_id", udfs.analyze_hostname(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1), contractions=True).alias("host"))
+    return rows.select("page_id", "host.canonical")
+
+
+@query("""SELECT 'invisible' AS kind, count(*) AS n FROM documents WHERE regexp_matches(text, '[A-Za-zÀ-ʯ]$')""")
+def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings where each text ends in a zero-width space: that ends a word if the text ends in a letter."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.regexp_extract("text", r"([A-Za-zÀ-ʯ])$", 1), F.lit("\u200B")).alias("text"))
+    return datasets.anomaly_counts(rows, "text")
+
+
+@query()
+def anomaly_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" p4ssw0rd v.i.a.g.r.a")).alias("text"))
+    return datasets.anomaly_counts(rows, "text", Lexicon.of(["password", "viagra"]))
+
+
+# 7. Emoji, graphemes, width
+
+per_document("demojize", lambda c: udfs.demojize(F.concat(c, F.lit(" \U0001F525\U0001F600x"))), "text || ' fire grinning face x'")
+per_document("grapheme_len", lambda c: native.grapheme_len(c).cast("long"), "length_grapheme(text)")
+per_document("grapheme_truncate", lambda c: native.grapheme_truncate(c, 10), "left_grapheme(text, 10)")
+per_document("grapheme_split", lambda c: F.array_join(native.graphemes(c), "|"), "array_to_string(string_split(text, ''), '|')")
+per_document("terminal_width", lambda c: udfs.terminal_width(c).cast("long"), r"length(regexp_replace(text, '[\x00-\x1F]', '', 'g'))")
+per_document("grapheme_width", lambda c: udfs.grapheme_width(F.lit("日")).cast("long"), "CAST(2 AS BIGINT)")
+
+# 8. Slugs and file names
+
+_SLUG = f"trim(regexp_replace(lower({_ROMAN}), '[^a-z0-9]+', '-', 'g'), '-')"
+per_document("slugify", udfs.slugify, _SLUG)
+per_document("slugify_max_length", lambda c: udfs.slugify(c, max_length=40), f"rtrim(left({_SLUG}, 40), '-')")
+per_document("slugify_unicode", udfs.slugify_unicode, "trim(regexp_replace(lower(text), '[^a-z0-9éóèñçüêäößí]+', '-', 'g'), '-')")
+per_document("slugify_url", udfs.slugify_url)
+per_document("slugify_filename", udfs.slugify_filename)
+per_document("slugify_de", udfs.slugify_de)
+per_document("slugify_native", lambda c: native.slugify_ascii(native.strip_accents(F.replace(c, F.lit("ß"), F.lit("ss")))), _SLUG)
+per_document("sanitize_filename", udfs.sanitize_filename)
+
+
+@query("SELECT doc_id, lang || CASE WHEN k = 1 THEN '' ELSE '-' || (k - 1) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents)")
+def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.unique_slugs(_table(spark, sf_dir, "documents").select("doc_id", "lang"), udfs.slugify("lang"), "doc_id").select("doc_id", "slug")
+
+
+# 9. Encoders and bytes
+
+per_document("escape_html", native.escape_html, "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')")
+per_document("percent_encode", native.percent_encode, "url_encode(text)")
+per_document("percent_encode_form", lambda c: native.percent_encode(c, "form"), "replace(url_encode(text), '%20', '+')")
+per_document("percent_encode_path", lambda c: native.percent_encode(c, "path"), "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%24', '$'), '%26', '&'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%2B', '+'), '%2C', ','), '%3B', ';'), '%3D', '='), '%3A', ':'), '%40', '@'), '%2F', '/')")
+per_document("strip_log_injection", native.strip_log_injection, r"regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}\x{2028}\x{2029}]', chr(65533), 'g')")
+per_document("decode_to_utf8", lambda c: udfs.decode_to_utf8(F.encode(c, "ISO-8859-1"), encoding="latin1")["text"], "text")
+per_document("detect_encoding", lambda c: udfs.detect_encoding(F.encode(c, "UTF-8"))["encoding"], "'UTF-8'")
+
+# 10. Whole tables
+
+@query(f"SELECT k AS key, arg_min(doc_id, doc_id) AS doc_id, count(*) AS group_size FROM (SELECT doc_id, {_COLLAPSED.format(f'strip_accents({_VISUAL.format(_FOLD)})')} AS k FROM documents) GROUP BY k")
+def dedup_by_catalog_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", udfs.catalog_key("text").alias("k"))
+    return datasets.dedup_by_key(rows.select("doc_id", "k"), F.col("k"), ["doc_id"]).select("key", "doc_id", "group_size")
+
+
+@query("SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def search_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Nátion_"), F.col("c_nationkey").cast("string")).alias("name"))
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return datasets.search_join(customers, nations, "name", "n_name").select("c_custkey", "n_nationkey")
+
+
+@query(f"SELECT n_nationkey, lower(n_name) AS sort_key FROM nation ORDER BY 2, 1")
+def collated_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.collated_sort(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey").select("n_nationkey", "sort_key")
+
+
+def _defences():
+    return {"canonicalize": udfs.canonicalize, "strip_obfuscation": udfs.strip_obfuscation}
+
+
+@query()
+def attack_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and word recovery of the benchmark's texts, per attack and defence, against the defence of the clean text."""
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("text"))
+    out = None
+    for attack, generate in attacks.ATTACKS.items():
+        for defence, restore in _defences().items():
+            pairs = rows.select(restore(F.col("text")).alias("clean"), restore(generate(F.col("text"))).alias("recovered"))
+            one = datasets.recovery(pairs, "clean", "recovered").withColumns({"attack": F.lit(attack), "defence": F.lit(defence)})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Each accented letter is one edit, and ß two.
+@query("""SELECT CAST(sum(length(regexp_replace(text, '[^éóèñçüêäöíßÉÓÈÑÇÜÊÄÖÍ]', '', 'g')) + length(regexp_replace(text, '[^ß]', '', 'g'))) AS DOUBLE) / sum(length(text)) AS cer FROM benchmark""")
+def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "benchmark").select("text", udfs.transliterate("text").alias("out"))
+    return datasets.cer_wer(rows, "text", "out").select("cer")
+
+
+@query()
+def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "benchmark").select("text", udfs.transliterate("text").alias("out"))
+    return datasets.cer_wer(rows, "text", "out")
+
+
+@query("""SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[\\x00-\\x7F]+', '', 'g'), '')) AS ch FROM documents) WHERE ch NOT IN ('', 'ç', 'Ç') GROUP BY ch ORDER BY n DESC, ch LIMIT 50""")
+def miss_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.miss_mining(_docs(spark, sf_dir), "text", confusable_table(spark).select("src"))
+
+
+for _name, _attack in attacks.ATTACKS.items():
+    per_document(f"attack_{_name}", _attack, {
+        "homoglyph": "translate(text, 'aceopxysij', 'асеорхуѕіј')",
+        "bidi": "chr(8238) || left(text, CAST(floor(length(text) / 2) AS BIGINT)) || chr(8207) || substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1) || chr(8236)",
+        "zalgo": r"regexp_replace(text, '(\p{L})', '\1' || chr(790) || chr(768) || chr(789), 'g')",
+    }.get(_name))
+
