@@ -418,7 +418,7 @@ def sanitize_filename(s: str, romanize, separator: str = "_", max_length: int =
     out = limited(("_" if guarded and stem.upper() in RESERVED else "") + stem + ext)
     if guarded and out.split(".")[0].upper() in RESERVED:
         out = limited("_" + out)
-    return out.strip(" ").rstrip(".") or "_"
+    return out.strip(". ") or "_"
 
 
 # Bytes
