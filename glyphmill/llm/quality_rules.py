@@ -117,15 +117,15 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "sou
     """
     own = (*MEASURES, "base_failed", "host_rate", "host_verdict", "kept")
     keep = [c for c in docs.columns if (carry is None or c in carry) and c.lower() not in own]
-    (host,) = fresh([*docs.columns, *own, "host", "n_docs", "n_failed"], "rule_host")
+    host, of_host = fresh([*docs.columns, *own], "rule_host", "verdict_host")
     measured = measure(docs.withColumn(host, F.col(host_col)), text_col).select(*[F.col(f"`{c}`") for c in keep], host, *MEASURES)
     if carry is not None and text_col not in keep:
         measured = cut(measured)
-    verdicts = cut(host_verdicts(measured, host).select(F.col("host").alias("verdict_host"), "host_rate", "host_verdict"))
+    verdicts = cut(host_verdicts(measured, host).select(F.col("host").alias(of_host), "host_rate", "host_verdict"))
     # Only hosts that are not trusted need a row on the other side; a host's documents are the skewed side.
     off = verdicts.filter("host_verdict != 'trusted'")
     rates = small(verdicts) if carry is not None else small(off)
-    joined = measured.join(rates, F.col(host).eqNullSafe(F.col("verdict_host")), "left")
+    joined = measured.join(rates, F.col(host).eqNullSafe(F.col(of_host)), "left")
     verdict = F.coalesce(F.col("host_verdict"), F.lit("trusted"))
     failed = base_failed()
     kept = ~failed & (verdict != "blocked") & ~((verdict == "watched") & soft_failed())

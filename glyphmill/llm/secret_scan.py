@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, fresh, scratch
 
 #: kind, pattern, group that holds the secret, its least number of characters.
 BASE = (
@@ -101,24 +101,23 @@ def scan(docs: DataFrame, *, text_col: str = "text", repo: Column | None = None,
     own = ("secrets", "n_live", "n_example", "n_shared")
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
-    placed = docs.withColumns({"scan_repo_": repo, "scan_owner_": owner})
     keep = [c for c in docs.columns if (carry is None or c in carry) and c.lower() not in own]
-    found = find_secrets(placed, text_col=text_col, carry=[*keep, "scan_repo_", "scan_owner_"])
-    found = found.withColumn("scan_row_", F.monotonically_increasing_id())
+    at_repo, at_owner, row, counted = fresh([*docs.columns, *own], "scan_repo", "scan_owner", "scan_row", "counted_row")
+    placed = docs.withColumns({at_repo: repo, at_owner: owner})
+    found = find_secrets(placed, text_col=text_col, carry=[*keep, at_repo, at_owner]).withColumn(row, F.monotonically_increasing_id())
     if text_col not in keep:
         found = cut(found)  # fixes the row numbers too
     else:
         landed = scratch(docs.sparkSession, "secrets")
         found.write.parquet(landed)
         found = docs.sparkSession.read.parquet(landed)
-    some = found.filter(F.size("secrets") > 0)
-    narrow = cut(some.select("scan_row_", "scan_repo_", "scan_owner_", "secrets"))
-    verdicts = ownership(narrow, repo=F.col("scan_repo_"), owner=F.col("scan_owner_"))
-    each = narrow.select("scan_row_", F.explode("secrets.secret").alias("secret")).select("scan_row_", F.unhex(F.sha2("secret", 256)).alias("held"))
+    narrow = cut(found.filter(F.size("secrets") > 0).select(F.col(row).alias("row"), F.col(at_repo).alias("repo"), F.col(at_owner).alias("owner"), "secrets"))
+    verdicts = ownership(narrow, repo=F.col("repo"), owner=F.col("owner"))
+    each = narrow.select("row", F.explode("secrets.secret").alias("secret")).select("row", F.unhex(F.sha2("secret", 256)).alias("held"))
     each = each.join(verdicts, F.col("held") == F.col("digest"))
     count = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).cast("long").alias(f"n_{v}")
-    counts = each.groupBy("scan_row_").agg(count("live"), count("example"), count("shared")).withColumnRenamed("scan_row_", "counted_row_")
-    joined = found.join(counts, F.col("scan_row_") == F.col("counted_row_"), "left")
+    counts = each.groupBy("row").agg(count("live"), count("example"), count("shared")).withColumnRenamed("row", counted)
+    joined = found.join(counts, F.col(row) == F.col(counted), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return joined.select(*[F.col(f"`{c}`") for c in keep], "secrets", zero("n_live"), zero("n_example"), zero("n_shared"))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, drop_path, fresh, others, scratch, small
+from .common import SPACE, cut, drop_path, scratch, small
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -107,45 +107,38 @@ def dedup_files(
 
     read = spark.read.parquet(path)
     carried = [c for c in read.columns if (columns is None or c in columns) and c.lower() not in own]
-    # The working columns sit in one struct, so no column of the table can clash with them.
-    (w,) = fresh(read.columns, "dedup")
+    # The table's columns and the working ones sit in a struct each, so none can clash.
     rows = read.select(
-        *[F.col(f"`{c}`") for c in carried],
-        F.struct(digest(normalised(text_col)).alias("digest"), normalised(text_col).alias("body"), _ref(id_col).alias("ref")).alias(w),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"),
+        F.struct(digest(normalised(text_col)).alias("digest"), normalised(text_col).alias("body"), _ref(id_col).alias("ref")).alias("x"),
     )
-    x = lambda name: F.col(f"{w}.{name}")
-    hit = small(many.select(F.struct(*many.columns).alias("hit")))
-    looked = rows.join(hit, x("digest") == F.col("hit.digest"), "left")
-    hex_of = F.lower(F.hex(x("digest"))) if digest is sha256 else F.sha2(x("body"), 256)
-    keep = [F.col(f"`{c}`") for c in carried]
-    out = looked.filter(F.col("hit").isNull()).select(
-        *keep, x("ref.id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hex_of.alias("text_sha256")
-    )
-    copies = looked.filter(F.col("hit").isNotNull())
-    at_ref = (x("ref.file") == F.col("hit.keep.file")) & (x("ref.row") == F.col("hit.keep.row"))
-    kept_body = copies.filter(at_ref).select(x("digest").alias("kept_digest"), x("body").alias("kept_body"))
-    same = x("body") == F.col("kept_body")
-    checked = copies.join(kept_body, x("digest") == F.col("kept_digest")).select(
-        *keep,
-        F.struct(
-            x("digest").alias("digest"), x("ref").alias("ref"), F.col("hit.keep").alias("keep"), F.col("hit.n").alias("n"), same.alias("same"), at_ref.alias("at_ref"), hex_of.alias("hex"),
-            F.when(~same, x("body")).alias("body"),
-        ).alias(w),
+    looked = rows.join(small(many.select(F.struct(*many.columns).alias("hit"))), F.col("x.digest") == F.col("hit.digest"), "left")
+    hex_of = F.lower(F.hex("x.digest")) if digest is sha256 else F.sha2("x.body", 256)
+
+    def verdict(rows: DataFrame, keep_id: Column, size: Column, kept: Column, text_hex: Column) -> DataFrame:
+        named = (keep_id.alias("keep_id"), size.cast("long").alias("group_size"), kept.alias("kept"), text_hex.alias("text_sha256"))
+        return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in carried], *named)
+
+    out = verdict(looked.filter("hit is null"), F.col("x.ref.id"), F.lit(1), F.lit(True), hex_of)
+    copies = looked.filter("hit is not null")
+    at_ref = (F.col("x.ref.file") == F.col("hit.keep.file")) & (F.col("x.ref.row") == F.col("hit.keep.row"))
+    kept_body = copies.filter(at_ref).select(F.col("x.digest").alias("kept_digest"), F.col("x.body").alias("kept_body"))
+    same = F.col("x.body") == F.col("kept_body")
+    checked = copies.join(kept_body, F.col("x.digest") == F.col("kept_digest")).select(
+        "row", "x.digest", "x.ref", "hit.keep", "hit.n", same.alias("same"), at_ref.alias("at_ref"), hex_of.alias("hex"), F.when(~same, F.col("x.body")).alias("body")
     )
     if text_col not in carried:
         checked = cut(checked)  # without texts the rows are narrow, and both uses below read them from there
-    collided = cut(checked.filter(~x("same")).select(x("digest").alias("digest"), x("body").alias("body"), x("ref").alias("ref")))
-    size = x("n")
+    collided = cut(checked.filter("not same").select("digest", "body", "ref"))
+    size = F.col("n")
     if not collided.isEmpty():
-        lost = collided.groupBy("digest").agg(F.count("*").alias("lost")).withColumnRenamed("digest", "lost_digest")
-        checked = checked.join(lost, x("digest") == F.col("lost_digest"), "left")
-        size = x("n") - F.coalesce(F.col("lost"), F.lit(0))
-        apart = collided.groupBy("digest", "body").agg(F.min("ref").alias("keep"), F.count("*").alias("n"))
-        apart = apart.select(F.struct("digest", "body", "keep", "n").alias("apart"))
-        regrouped = checked.filter(~x("same")).join(apart, (x("digest") == F.col("apart.digest")) & (x("body") == F.col("apart.body")))
-        out = out.unionByName(regrouped.select(*keep, F.col("apart.keep.id").alias("keep_id"), F.col("apart.n").alias("group_size"), (x("ref") == F.col("apart.keep")).alias("kept"), x("hex").alias("text_sha256")))
-    agreed = checked.filter(x("same")).select(*keep, x("keep.id").alias("keep_id"), size.alias("group_size"), x("at_ref").alias("kept"), x("hex").alias("text_sha256"))
-    return out.unionByName(agreed)
+        lost = collided.groupBy("digest").agg(F.count("*").alias("lost"))
+        apart = collided.groupBy("digest", "body").agg(F.min("ref").alias("apart_keep"), F.count("*").alias("apart_n"))
+        regrouped = checked.filter("not same").join(apart, ["digest", "body"])
+        out = out.unionByName(verdict(regrouped, F.col("apart_keep.id"), F.col("apart_n"), F.col("ref") == F.col("apart_keep"), F.col("hex")))
+        checked = checked.join(lost, "digest", "left")
+        size = F.col("n") - F.coalesce(F.col("lost"), F.lit(0))
+    return out.unionByName(verdict(checked.filter("same"), F.col("keep.id"), size, F.col("at_ref"), F.col("hex")))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
