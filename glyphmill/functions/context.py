@@ -6,9 +6,11 @@ sections (single words, then pairs) of length-prefixed strings.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
+from pathlib import Path
 
 from .translit import Romanizer
 
@@ -59,6 +61,15 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[tuple[str, str], str]]:
         raise ContextError("context_dict_corrupt", str(e)) from None
 
 
+def load_dictionaries(folder: str | None = None) -> dict[str, bytes]:
+    """Dictionaries ``<language>.bin`` in an absolute folder, by default ``$GLYPHMILL_DICT_DIR``; read on the driver."""
+    folder = folder or os.environ.get("GLYPHMILL_DICT_DIR")
+    if not folder or not os.path.isabs(folder):
+        return {}
+    paths = {lang: os.path.join(folder, f"{lang}.bin") for lang in ("ar", "fa", "he")}
+    return {lang: Path(p).read_bytes() for lang, p in paths.items() if os.path.exists(p)}
+
+
 def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
 

@@ -13,6 +13,7 @@ from functools import lru_cache
 import regex
 
 from . import charsets as S
+from .errors import InvalidArgumentError, ResourceLimitError, UnsupportedError
 from .tables import CONTRACTIONS, Tables
 
 MARKS = regex.compile(r"\p{M}+")
@@ -177,7 +178,7 @@ def demojize(s: str, strip_modifiers: bool = False, errors: str = "ignore", repl
     no string falls back to the built-in names.
     """
     if errors not in ("ignore", "replace", "preserve", "strict"):
-        raise ValueError(f"unknown errors mode {errors!r}")
+        raise InvalidArgumentError(f"unknown errors mode {errors!r}")
     if s.isascii():
         return s
     out: list[str] = []
@@ -210,7 +211,7 @@ def demojize(s: str, strip_modifiers: bool = False, errors: str = "ignore", repl
             continue
         if _is_emoji(ord(ch)):
             if errors == "strict":
-                raise ValueError(f"no name of emoji U+{ord(ch):04X}")
+                raise InvalidArgumentError(f"no name of emoji U+{ord(ch):04X}")
             if errors != "ignore":
                 out.append(replace_with if errors == "replace" else ch)
             i = _EMOJI_MODIFIER.match(s, i + 1).end()
@@ -301,9 +302,9 @@ class Slugger:
     def __init__(self, romanize, separator: str = "-", lowercase: bool = True, max_length: int = 0, word_boundary: bool = False, save_order: bool = False, stopwords=(), regex_pattern: str | None = None,
                  replacements=(), allow_unicode: bool = False, entities: bool = True, decimal: bool = True, hexadecimal: bool = True, default: str | None = None, safe_chars: str = ""):
         if regex_pattern and len(regex_pattern.encode()) > self.MAX_PATTERN_BYTES:
-            raise ValueError(f"regex_pattern is longer than {self.MAX_PATTERN_BYTES} bytes")
+            raise ResourceLimitError(f"regex_pattern is longer than {self.MAX_PATTERN_BYTES} bytes")
         if max_length < 0:
-            raise ValueError("max_length must be at least 0")
+            raise InvalidArgumentError("max_length must be at least 0")
         self.romanize, self.separator, self.lowercase, self.max_length = romanize, separator, lowercase, max_length
         self.word_boundary, self.save_order, self.stopwords = word_boundary, save_order, frozenset(stopwords)
         self.pattern = re.compile(regex_pattern) if regex_pattern else None
@@ -380,7 +381,7 @@ class UniqueSlugger:
             candidate = stem + suffix
             self.next[base] = n
         else:
-            raise RuntimeError(f"no free slug for {base!r} after {self.MAX_ATTEMPTS} attempts")
+            raise ResourceLimitError(f"no free slug for {base!r} after {self.MAX_ATTEMPTS} attempts")
         self.seen.add(candidate)
         return candidate
 
@@ -393,7 +394,7 @@ RESERVED = frozenset("CON PRN AUX NUL COM0 COM1 COM2 COM3 COM4 COM5 COM6 COM7 CO
 def sanitize_filename(s: str, romanize, separator: str = "_", max_length: int = 255, platform: str = "universal", preserve_extension: bool = True) -> str:
     """A name that is safe on the platform: never empty, no reserved device name, no trailing dots; a fixed point."""
     if platform not in PLATFORMS:
-        raise ValueError(f"platform must be one of {', '.join(PLATFORMS)}; got {platform!r}")
+        raise InvalidArgumentError(f"platform must be one of {', '.join(PLATFORMS)}; got {platform!r}")
     bad = PLATFORMS[platform]
     illegal = lambda c: c in bad or unicodedata.category(c) == "Cc" or c.isspace()
     dots = lambda x: re.sub(r"\.{2,}", ".", x)
@@ -463,17 +464,17 @@ def decode_to_utf8(data: bytes, encoding: str | None = None, min_confidence: flo
     if encoding is None:
         encoding, confidence = detect_encoding(data)
         if confidence < min_confidence:
-            raise ValueError(f"detected {encoding} with confidence {confidence}, less than {min_confidence}")
+            raise InvalidArgumentError(f"detected {encoding} with confidence {confidence}, less than {min_confidence}")
     label = encoding.strip().lower()
     try:
         text = data.decode(_LABELS.get(label, label), "strict")
         return text, False
     except UnicodeDecodeError:
         if strict:
-            raise ValueError(f"bytes are not valid {encoding}") from None
+            raise InvalidArgumentError(f"bytes are not valid {encoding}") from None
         return data.decode(_LABELS.get(label, label), "replace"), True
     except LookupError:
-        raise ValueError(f"unknown encoding {encoding!r}") from None
+        raise UnsupportedError(f"unknown encoding {encoding!r}") from None
 
 
 def scrub_surrogates(s: str) -> str:

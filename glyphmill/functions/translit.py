@@ -7,6 +7,7 @@ import unicodedata
 from dataclasses import dataclass, field
 
 from . import charsets as S
+from .errors import InvalidArgumentError, ResourceLimitError
 from .tables import ALIASES, LANGUAGES, REVERSE, Tables, hangul
 
 ERRORS = ("replace", "ignore", "preserve", "strict")
@@ -78,19 +79,19 @@ class Context:
     def register_lang(self, code: str, mapping: dict[str, str]) -> Context:
         self._open()
         if any(len(k) != 1 for k in mapping):
-            raise ValueError("keys must be single characters")
+            raise InvalidArgumentError("keys must be single characters")
         new = self.languages | {code: {ord(k): v for k, v in mapping.items()}}
         if len(new) > self.MAX_LANGUAGES:
-            raise ValueError(f"no more than {self.MAX_LANGUAGES} languages can be registered")
+            raise ResourceLimitError(f"no more than {self.MAX_LANGUAGES} languages can be registered")
         return Context(new, self.replacements)
 
     def register_replacements(self, mapping: dict[str, str]) -> Context:
         self._open()
         if "" in mapping:
-            raise ValueError("a replacement needs a key")
+            raise InvalidArgumentError("a replacement needs a key")
         new = self.replacements | mapping
         if len(new) > self.MAX_REPLACEMENTS:
-            raise ValueError(f"no more than {self.MAX_REPLACEMENTS} replacements can be registered")
+            raise ResourceLimitError(f"no more than {self.MAX_REPLACEMENTS} replacements can be registered")
         return Context(self.languages, new)
 
     def remove_replacement(self, key: str) -> Context:
@@ -111,7 +112,7 @@ class Context:
         keys = re.compile("|".join(map(re.escape, sorted(self.replacements, key=len, reverse=True))))
         out = keys.sub(lambda m: self.replacements[m[0]], s)
         if len(out.encode()) > self.MAX_OUTPUT:
-            raise ValueError("replacement output is larger than 10 MiB")
+            raise ResourceLimitError("replacement output is larger than 10 MiB")
         return out
 
 
@@ -119,7 +120,7 @@ def check_lang(lang: str | None, context: Context | None = None) -> None:
     if lang is None or lang == "auto" or lang in LANG_CODES or (context and lang in context.languages):
         return
     near = closest_match(lang, LANG_CODES)
-    raise ValueError(f"unknown language {lang!r}" + (f"; did you mean {near!r}?" if near else ""))
+    raise InvalidArgumentError(f"unknown language {lang!r}" + (f"; did you mean {near!r}?" if near else ""))
 
 
 def closest_match(word: str, choices) -> str | None:
@@ -142,9 +143,9 @@ class Romanizer:
 
     def __init__(self, tables: Tables, lang: str | None = None, errors: str = "replace", replace_with: str = "[?]", strict_iso9: bool = False, gost7034: bool = False, tones: bool = False, context: Context | None = None):
         if errors not in ERRORS:
-            raise ValueError(f"errors must be one of {', '.join(ERRORS)}; got {errors!r}")
+            raise InvalidArgumentError(f"errors must be one of {', '.join(ERRORS)}; got {errors!r}")
         if strict_iso9 and gost7034:
-            raise ValueError("strict_iso9 and gost7034 exclude each other")
+            raise InvalidArgumentError("strict_iso9 and gost7034 exclude each other")
         check_lang(lang, context)
         self.tables, self.lang, self.errors, self.replace_with, self.tones = tables, lang, errors, replace_with, tones
         self.strict_iso9, self.gost7034 = strict_iso9, gost7034
@@ -238,7 +239,7 @@ class Reverser:
 
     def __init__(self, lang: str):
         if lang not in REVERSE:
-            raise ValueError(f"target must be one of {', '.join(reverse_langs())}; got {lang!r}")
+            raise InvalidArgumentError(f"target must be one of {', '.join(reverse_langs())}; got {lang!r}")
         self.keys = {}
         for pair in REVERSE[lang].split(" "):
             k = max(i for i, c in enumerate(pair) if c.isascii()) + 1

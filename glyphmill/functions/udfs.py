@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from ..plans import presets as P
 from . import kernels as K
-from . import security
+from . import native, registry, security
+from .context import ContextRomanizer, load_dictionaries
+from .errors import UnsupportedError
 from .tables import Tables, load
 from .translit import Context, Reverser, Romanizer, inspect_auto_lang
 
@@ -95,7 +97,15 @@ def transliterate(tables: Tables, lang: str | None = None, errors: str = "replac
         if lang or strict_iso9 or gost7034 or tones or errors != "replace":
             raise ValueError("target excludes the options of the forward direction")
         return Reverser(target), TEXT
-    return Romanizer(tables, lang, errors, replace_with, strict_iso9, gost7034, tones, context), TEXT
+    return Romanizer(tables, lang, errors, replace_with, strict_iso9, gost7034, tones, context or registry.snapshot()), TEXT
+
+
+@_takes_tables
+def transliterate_in_context(tables: Tables, lang: str, dictionaries: dict[str, bytes] | None = None):
+    """Romanise Arabic, Persian or Hebrew by a dictionary of word forms; without ``dictionaries`` they are read from ``$GLYPHMILL_DICT_DIR``."""
+    if lang not in ("ar", "fa", "he"):
+        raise UnsupportedError(f"no context for {lang!r}")
+    return ContextRomanizer(Romanizer(tables, lang, context=registry.snapshot()), lang, load_dictionaries() if dictionaries is None else dictionaries), TEXT
 
 
 @_takes_tables
@@ -157,6 +167,10 @@ def analyze_hostname(tables: Tables, contractions: bool = False):
     return lambda s: security.analyze_hostname(s, tables, contractions), HOSTNAME
 
 
+def is_mixed_script(c: Column | str) -> Column:
+    return F.size(native.detect_scripts(c)) > 1
+
+
 def is_suspicious_hostname(c: Column | str, contractions: bool = False) -> Column:
     return analyze_hostname(c, contractions)["suspicious"]
 
@@ -171,7 +185,27 @@ def slugify(tables: Tables, lang: str | None = None, **options):
     return _slugger(tables, lang, **options), TEXT
 
 
+class Slugifier:
+    """``slugify`` with its options fixed: ``Slugifier(separator="_")("name")``."""
+
+    def __init__(self, **options):
+        self.options = options
+
+    def __call__(self, c: Column | str) -> Column:
+        return slugify(c, **self.options)
+
+
+def unique_slugifier(spark: SparkSession, check: Callable[[str], bool] | None = None, lang: str | None = None, **options) -> K.UniqueSlugger:
+    """Unique slugs of single strings, in the order of the calls, on the driver; for tables see ``operators.datasets.unique_slugs``."""
+    return K.UniqueSlugger(_slugger(load(spark), lang, **options), check)
+
+
 # Shims with other names for the same options.
+def slugify_compat(c, *, to_lower: bool = False, max_length: int = 0, separator: str = "-", capitalize: bool = False, stop_words=(), safe_chars: str = "", pretranslate=(), lang: str | None = None) -> Column:
+    out = slugify(c, lang=lang, lowercase=to_lower, max_length=max_length, separator=separator, stopwords=tuple(stop_words), safe_chars=safe_chars, replacements=tuple(pretranslate), word_boundary=bool(max_length))
+    return F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, F.lit(2), F.length(out))) if capitalize else out
+
+
 def slugify_url(c, **options) -> Column:
     return slugify(c, **({"stopwords": ("a", "an", "and", "in", "of", "or", "the", "to"), "max_length": 200} | options))
 
@@ -206,6 +240,7 @@ def sanitize_filename(tables: Tables, separator: str = "_", max_length: int = 25
 
 def demojize(c, strip_modifiers: bool = False, errors: str = "ignore", replace_with: str = "[?]", provider=None) -> Column:
     K.demojize("é", strip_modifiers, errors, replace_with)  # checks the options
+    provider = provider or registry.emoji_provider()
     return vectorised(lambda s: K.demojize(s, strip_modifiers, errors, replace_with, provider), TEXT)(c)
 
 
