@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, barrier, cut, fresh, others, small, words
+from .common import barrier, cut, fresh, others, small, words
 
 #: Base rules: a document fails with fewer words, or with a larger share (%) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -27,12 +27,23 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _joined(hashes: Column, apart: int) -> Column:
+    """Each hash joined with the one ``apart`` places after it."""
+    return _let(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + apart))))
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Number of words that lie in a window of ``window`` words found twice or more in the same array."""
+    if window < 1 or window & (window - 1):
+        raise ValueError("window must be a power of two")
     n = F.size(words)
-    windows = F.when(n >= window, F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(window))))).otherwise(
-        F.expr("cast(array() as array<bigint>)")
-    )
+    # A window's hash is that of its halves' hashes, so a word is hashed once and not once per window.
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    half = 1
+    while half < window:
+        hashed = _joined(hashed, half)
+        half *= 2
+    windows = F.when(n >= window, F.slice(hashed, F.lit(1), n - (window - 1))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     def covered(hashes: Column) -> Column:
         ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -58,8 +69,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .select(
             *others(docs, *MEASURES),
             barrier(F.size(w).cast("long")).alias("n_words"),
-            F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col(w)).alias("n_repeat_words"),
         )
