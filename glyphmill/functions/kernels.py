@@ -14,7 +14,7 @@ import regex
 
 from . import charsets as S
 from .errors import InvalidArgumentError, ResourceLimitError, UnsupportedError
-from .tables import CONTRACTIONS, Tables
+from .tables import CONTRACTIONS, Tables, compose
 
 MARKS = regex.compile(r"\p{M}+")
 _span = lambda ranges: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
@@ -77,7 +77,7 @@ def is_zalgo(s: str, threshold: int = 3) -> bool:
 def fold_confusables(s: str, table: dict[int, str], rounds: int = 8) -> str:
     """Compose, map, and again until nothing changes."""
     for _ in range(rounds):
-        new = nfc(s).translate(table)
+        new = compose(s, table).translate(table)
         if new == s:
             break
         s = new
@@ -85,7 +85,7 @@ def fold_confusables(s: str, table: dict[int, str], rounds: int = 8) -> str:
 
 
 def is_confusable(s: str, table: dict[int, str]) -> bool:
-    return any(ord(c) in table for c in nfc(s))
+    return any(ord(c) in table for c in compose(s, table))
 
 
 def unmapped_confusables(tables: Tables, target: str = "latin") -> list[str]:

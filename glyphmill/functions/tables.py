@@ -6,6 +6,7 @@ Python workers. Exactness against published tables differs and is stated per tab
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -113,6 +114,27 @@ def _with_lower(text: str) -> dict[int, str]:
     return out
 
 
+def _excluded() -> dict[str, str]:
+    """Clusters that normalisation leaves apart although a composed character exists, by rule from the decompositions."""
+    out = {}
+    for c in map(chr, (*range(0x0340, 0x0345), *range(0x0900, 0x0E00), *range(0x0F40, 0x0FC0), *range(0xFB1D, 0xFB50))):
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) > 1 and unicodedata.normalize("NFC", c) != c:
+            out[apart] = c
+    return out
+
+
+EXCLUDED = _excluded()
+_EXCLUDED = re.compile("|".join(sorted(map(re.escape, EXCLUDED), key=len, reverse=True)))
+
+
+def compose(s: str, table: dict[int, str]) -> str:
+    """NFC, and those composed characters that NFC excludes but the table maps."""
+    if s.isascii():
+        return s
+    return _EXCLUDED.sub(lambda m: EXCLUDED[m[0]] if ord(EXCLUDED[m[0]]) in table else m[0], unicodedata.normalize("NFC", s))
+
+
 def fold_case(s: str) -> str:
     """Full case folding with the letters that Unicode 16 added."""
     return s.casefold() if s.isascii() else s.casefold().translate(_FOLD_16)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from . import charsets as S
 from .errors import InvalidArgumentError, ResourceLimitError
-from .tables import ALIASES, LANGUAGES, REVERSE, Tables, hangul
+from .tables import ALIASES, REVERSE, Tables, compose, hangul
 
 ERRORS = ("replace", "ignore", "preserve", "strict")
 # Languages that are accepted; those without a table of their own use the default.
@@ -204,7 +204,7 @@ class Romanizer:
                 out.append(value)
                 last = value[-1]
             self._consonant = ROLES.get(ch) == "C"
-            before = now
+            before = "O" if value == ch and ch > "\x7f" else now  # what stays as it is sets nothing apart
         return "".join(out)
 
     _consonant = False
@@ -213,7 +213,7 @@ class Romanizer:
         s = self.context.replace(s)
         if s.isascii():
             return s
-        s = unicodedata.normalize("NFC", s)
+        s = compose(s, self.tables.default)
 
         def unknown(ch: str, i: int) -> str:
             if self.errors == "strict":

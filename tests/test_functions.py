@@ -66,6 +66,14 @@ def test_transliterate_refuses(tables):
     assert Romanizer(tables).untranslatable("éx") == [("", 2), ("", 6)]
 
 
+@pytest.mark.parametrize("ch", [chr(c) for c in (0x0457, 0xE7, 0x3AF, 0x625, 0xEF, 0xE9, 0x107, 0xFC, 0xAC01, 0xFB31, 0x0958)])
+def test_composition_does_not_matter(tables, ch):
+    """A character and its parts give the same answer, also where NFC leaves them apart."""
+    forms = {unicodedata.normalize(f, ch) for f in ("NFC", "NFD", "NFKD")} | {ch}
+    for f in (Romanizer(tables), Romanizer(tables, "uk"), lambda s: K.fold_confusables(s, tables.latin), P.preset("canonicalize", tables), P.preset("search_key", tables)):
+        assert len({unicodedata.normalize("NFC", f(s)) for s in forms}) == 1
+
+
 @pytest.mark.parametrize(("text", "lang", "expected"), [("Moskva", "ru", "Москва"), ("SH", "ru", "Ш"), ("Shch", "ru", "Щ"), ("Kyyiv", "uk", "Київ"), ("thalassa", "el", "θαλασσα")])
 def test_reverse(text, lang, expected):
     assert Reverser(lang)(text) == expected
