@@ -56,6 +56,7 @@ _FOLD = "replace(lower(text), 'ß', 'ss')"
 _ROMAN = "strip_accents(replace(text, 'ß', 'ss'))"
 _COLLAPSED = r"trim(regexp_replace({}, '[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}]+', ' ', 'g'), ' ')"
 _KEY = _COLLAPSED.format(f"strip_accents({_FOLD})")
+_GERMAN = "strip_accents(" + "replace(" * 7 + "text" + "".join(f", '{a}', '{b}')" for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss"))) + ")"
 # Confusable characters that the documents hold: | " ` ´ and the cedilla.
 _VISUAL = "replace(replace(replace(replace(replace({}, '|', 'l'), '\"', ''''''), '`', ''''), 'ç', 'c'), 'Ç', 'C')"
 
@@ -91,13 +92,17 @@ per_document("is_ascii", native.is_ascii, r"NOT regexp_matches(text, '[^\x00-\x7
 # 2. Transliteration
 
 per_document("transliterate", udfs.transliterate, _ROMAN)
-per_document("transliterate_german", lambda c: udfs.transliterate(c, lang="de"), "strip_accents(" + "".join("replace(" for _ in range(7)) + "text" + "".join(f", '{a}', '{b}')" for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss"))) + ")")
-per_document("transliterate_auto", lambda c: udfs.transliterate(c, lang="auto"))
+per_document("transliterate_german", lambda c: udfs.transliterate(c, lang="de"), _GERMAN)
+per_document("transliterate_auto", lambda c: udfs.transliterate(c, lang="auto"), f"CASE WHEN regexp_matches(left(text, 2000), '[ßẞ]') THEN {_GERMAN} ELSE {_ROMAN} END")
 per_document("transliterate_cyrillic", lambda c: udfs.transliterate(F.concat(c, F.lit(" Москва")), errors="ignore"), _ROMAN + " || ' Moskva'")
 per_document("transliterate_iso9", lambda c: udfs.transliterate(F.concat(c, F.lit(" Юрий")), strict_iso9=True), _ROMAN + " || ' Jurij'")
 per_document("transliterate_gost7034", lambda c: udfs.transliterate(F.concat(c, F.lit(" хай")), gost7034=True), _ROMAN + " || ' xaj'")
 per_document("transliterate_tones", lambda c: udfs.transliterate(F.concat(c, F.lit(" 北")), tones=True), _ROMAN + " || ' běi'")
-per_document("reverse_transliterate", lambda c: udfs.transliterate(F.lit("Moskva Shch"), target="ru"), "'Москва Щ'")
+# Without h no two of the longer keys overlap, so replacing them one after another is the same.
+_REVERSED = "regexp_replace(text, '[hH]', '', 'g')"
+for _key, _native in (("Ts", "Ц"), ("ts", "ц"), ("TS", "Ц"), ("Yu", "Ю"), ("yu", "ю"), ("YU", "Ю"), ("Ya", "Я"), ("ya", "я"), ("YA", "Я"), ("Yo", "Ё"), ("yo", "ё"), ("YO", "Ё"), ("Ye", "Е"), ("ye", "е"), ("YE", "Е")):
+    _REVERSED = f"replace({_REVERSED}, '{_key}', '{_native}')"
+per_document("reverse_transliterate", lambda c: udfs.transliterate(F.regexp_replace(c, "[hH]", ""), target="ru"), f"translate({_REVERSED}, 'ABVGDEZIJKLMNOPRSTUFYabvgdezijklmnoprstufy', 'АБВГДЕЗИЙКЛМНОПРСТУФЫабвгдезийклмнопрстуфы')")
 per_document("unidecode", udfs.unidecode, _ROMAN)
 per_document("find_untranslatable", lambda c: F.element_at(udfs.find_untranslatable(F.concat(c, F.lit("\uE001"))), -1)["byte_offset"], "CAST(strlen(text) AS INTEGER)")
 
@@ -146,7 +151,7 @@ def native_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 per_document("normalize_confusables", lambda c: udfs.normalize_confusables(attacks.homoglyph(c)), _VISUAL.format("text"))
 per_document("normalize_confusables_cyrillic", lambda c: udfs.normalize_confusables(F.regexp_replace(c, "[^aceopxy ]", ""), target_script="cyrillic"), "translate(regexp_replace(text, '[^aceopxy ]', '', 'g'), 'aceopxy', 'асеорху')")
-per_document("normalize_confusables_tr39", lambda c: udfs.normalize_confusables(F.lit("٥٠"), digit_policy="tr39"), "'o.'")
+per_document("normalize_confusables_tr39", lambda c: udfs.normalize_confusables(F.concat(c, F.lit("٥٠")), digit_policy="tr39"), _VISUAL.format("text") + " || 'o.'")
 per_document("is_confusable", lambda c: udfs.is_confusable(c), r"regexp_matches(text, '[|\"`çÇ]')")
 per_document("find_unmapped_confusables", lambda c: F.size(udfs.find_unmapped_confusables(c)).cast("long"))
 
@@ -205,10 +210,10 @@ def hostname_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host.canonical")
 
 
-@query("""SELECT 'invisible' AS kind, count(*) AS n FROM documents WHERE regexp_matches(text, '[A-Za-zÀ-ʯ]$')""")
+@query(r"""SELECT 'invisible' AS kind, count(*) AS n FROM documents WHERE regexp_matches(text, '[A-Za-zÀ-ʯ]\S*$')""")
 def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings where each text ends in a zero-width space: that ends a word if the text ends in a letter."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.regexp_extract("text", r"([A-Za-zÀ-ʯ])$", 1), F.lit("\u200B")).alias("text"))
+    """Findings where a zero-width space ends each text: it counts if the last word has a letter."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\u200B")).alias("text"))
     return datasets.anomaly_counts(rows, "text")
 
 
@@ -225,7 +230,14 @@ per_document("grapheme_len", lambda c: native.grapheme_len(c).cast("long"), "len
 per_document("grapheme_truncate", lambda c: native.grapheme_truncate(c, 10), "left_grapheme(text, 10)")
 per_document("grapheme_split", lambda c: F.array_join(native.graphemes(c), "|"), "array_to_string(string_split(text, ''), '|')")
 per_document("terminal_width", lambda c: udfs.terminal_width(c).cast("long"), r"length(regexp_replace(text, '[\x00-\x1F]', '', 'g'))")
-per_document("grapheme_width", lambda c: udfs.grapheme_width(F.lit("日")).cast("long"), "CAST(2 AS BIGINT)")
+
+
+@query("SELECT DISTINCT ch, CAST(CASE WHEN ch < ' ' THEN 0 ELSE 1 END AS BIGINT) AS width FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch != ''")
+def grapheme_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The width of every distinct grapheme."""
+    each = _docs(spark, sf_dir).select(F.explode(native.graphemes("text")).alias("ch")).distinct()
+    return each.select("ch", udfs.grapheme_width("ch").cast("long").alias("width"))
+
 
 # 8. Slugs and file names
 
@@ -234,10 +246,13 @@ per_document("slugify", udfs.slugify, _SLUG)
 per_document("slugify_max_length", lambda c: udfs.slugify(c, max_length=40), f"rtrim(left({_SLUG}, 40), '-')")
 per_document("slugify_unicode", udfs.slugify_unicode, "trim(regexp_replace(lower(text), '[^a-z0-9éóèñçüêäößí]+', '-', 'g'), '-')")
 per_document("slugify_url", udfs.slugify_url)
-per_document("slugify_filename", udfs.slugify_filename)
-per_document("slugify_de", udfs.slugify_de)
+per_document("slugify_filename", udfs.slugify_filename, f"rtrim(left(trim(regexp_replace({_ROMAN}, '[^A-Za-z0-9.-]+', '_', 'g'), '_'), 255), '_')")
+per_document("slugify_de", udfs.slugify_de, f"trim(regexp_replace(lower({_GERMAN}), '[^a-z0-9]+', '-', 'g'), '-')")
 per_document("slugify_native", lambda c: native.slugify_ascii(native.strip_accents(F.replace(c, F.lit("ß"), F.lit("ss")))), _SLUG)
 per_document("sanitize_filename", udfs.sanitize_filename)
+per_document("sanitize_filename_stem", lambda c: udfs.sanitize_filename(c, platform="posix", preserve_extension=False), (
+    rf"""trim(left(trim(trim(regexp_replace(rtrim(regexp_replace({_ROMAN}, '\.{{2,}}', '.', 'g'), '. '), '[/\x00-\x20\x7F]+', '_', 'g'), '_'), '. '), 255), '. ')"""
+))
 
 
 @query("SELECT doc_id, lang || CASE WHEN k = 1 THEN '' ELSE '-' || (k - 1) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents)")
@@ -310,10 +325,13 @@ def miss_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.miss_mining(_docs(spark, sf_dir), "text", confusable_table(spark).select("src"))
 
 
+# The attacks in SQL, of any text.
+_SQL_HOMOGLYPH = "translate({}, 'aceopxysij', 'асеорхуѕіј')"
+_SQL_INVISIBLE = "array_to_string(list_transform(string_split({}, ''), lambda x, i: CASE WHEN x = '' THEN x ELSE x || chr([8203, 8204, 8205, 65279, 8288][CAST((i - 1) % 5 AS INTEGER) + 1]) END), '')"
+_SQL_BIDI = "(SELECT chr(8238) || left(t, CAST(floor(length(t) / 2) AS BIGINT)) || chr(8207) || substr(t, CAST(floor(length(t) / 2) AS BIGINT) + 1) || chr(8236) FROM (SELECT {} AS t))"
+_SQL_ATTACKS = {
+    "homoglyph": _SQL_HOMOGLYPH.format("text"), "invisible": _SQL_INVISIBLE.format("text"), "bidi": _SQL_BIDI.format("text"),
+    "zalgo": r"regexp_replace(text, '(\p{L})', '\1' || chr(790) || chr(768) || chr(789), 'g')", "combined": _SQL_BIDI.format(_SQL_INVISIBLE.format(_SQL_HOMOGLYPH.format("text"))),
+}
 for _name, _attack in attacks.ATTACKS.items():
-    per_document(f"attack_{_name}", _attack, {
-        "homoglyph": "translate(text, 'aceopxysij', 'асеорхуѕіј')",
-        "bidi": "chr(8238) || left(text, CAST(floor(length(text) / 2) AS BIGINT)) || chr(8207) || substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1) || chr(8236)",
-        "zalgo": r"regexp_replace(text, '(\p{L})', '\1' || chr(790) || chr(768) || chr(789), 'g')",
-    }.get(_name))
-
+    per_document(f"attack_{_name}", _attack, _SQL_ATTACKS[_name])
