@@ -58,13 +58,15 @@ def unique_slugs(df: DataFrame, slug: Column, order: str, separator: str = "-")
     """``df`` with ``slug``, unique in the order of ``order``: base, base-1, base-2 and so on.
 
     All rows of a base are numbered by a window; that is final unless some text's base has the form of another's
-    numbered slug. Families of bases that meet so (the stem before trailing numbers is the same) are numbered in order
-    by one task each: equal to a sequential pass, as other families cannot take their slugs.
+    numbered slug. Families of bases that may meet so (one stem before trailing numbers, several bases, and one of them
+    more than once) are numbered in order by one task each: equal to a sequential pass, as other families cannot take
+    their slugs. Families whose bases all occur once need no numbers, whatever their size.
     """
     rows = df.withColumn("base_", slug)
     stem = F.regexp_replace("base_", rf"({_quoted(separator)}[0-9]+)+$", "")
     rows = rows.withColumn("stem_", F.coalesce(stem, F.lit("")))
-    mixed = rows.groupBy("stem_").agg(F.min("base_").alias("low_"), F.max("base_").alias("high_")).where("low_ != high_").select(F.col("stem_").alias("mixed_"))
+    bases = rows.groupBy("stem_", "base_").agg(F.count("*").alias("times_"))
+    mixed = bases.groupBy("stem_").agg(F.count("*").alias("bases_"), F.max("times_").alias("times_")).where("bases_ > 1 and times_ > 1").select(F.col("stem_").alias("mixed_"))
     marked = rows.join(mixed, F.col("stem_") == F.col("mixed_"), "left")
     at = F.row_number().over(Window.partitionBy("base_").orderBy(order)) - 1
     simple = marked.where("mixed_ is null").withColumn("slug", F.when(at == 0, F.col("base_")).otherwise(F.concat("base_", F.lit(separator), at.cast("string"))))
