@@ -14,11 +14,14 @@ import regex
 
 from . import charsets as S
 from .errors import InvalidArgumentError, ResourceLimitError, UnsupportedError
-from .tables import CONTRACTIONS, Tables, compose
+from .tables import CONTRACTIONS, Tables, compose, map_chars
 
 MARKS = regex.compile(r"\p{M}+")
+_is_mark = lru_cache(maxsize=4096)(lambda c: unicodedata.category(c)[0] == "M")
 _span = lambda ranges: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
-_SPACE = re.compile(f"[{re.escape(S.FOLD_SPACE + S.BLANK_LETTERS)}]+")
+_ANY_SPACE = re.escape(S.FOLD_SPACE + S.BLANK_LETTERS)
+# Only what changes: a run that begins with another space than U+0020, or is longer than one.
+_SPACE = re.compile(f"[{re.escape((S.FOLD_SPACE + S.BLANK_LETTERS).replace(' ', ''))}][{_ANY_SPACE}]*| [{_ANY_SPACE}]+")
 _CONTROL = re.compile("[" + _span(S.merged({c for c in (*range(32), *range(127, 160)) if chr(c) not in S.FOLD_SPACE})) + "]+")
 _ZERO = re.compile(f"[{S.ZERO_WIDTH}]+")
 _BIDI = re.compile(f"[{S.BIDI}]+")
@@ -37,7 +40,12 @@ def nfkc(s: str) -> str:
 
 
 def strip_accents(s: str) -> str:
-    return s if s.isascii() else unicodedata.normalize("NFC", MARKS.sub("", unicodedata.normalize("NFD", s)))
+    if s.isascii():
+        return s
+    apart = unicodedata.normalize("NFD", s)
+    for c in filter(_is_mark, set(apart)):
+        apart = apart.replace(c, "")
+    return unicodedata.normalize("NFC", apart)
 
 
 def strip_bidi(s: str) -> str:
@@ -61,9 +69,18 @@ def strip_invisible(s: str) -> str:
     return s if s.isascii() else _HIDDEN.sub("", _NONCHARACTERS.sub("", _TAGS.sub(lambda m: m[1] or "", s)))
 
 
+@lru_cache(maxsize=8192)
+def _marks_of(c: str) -> int:
+    return sum(map(_is_mark, unicodedata.normalize("NFD", c)))
+
+
 def strip_zalgo(s: str, max_marks: int = 2) -> str:
     if s.isascii():
         return s
+    if max_marks == 0:
+        return strip_accents(s)
+    if unicodedata.is_normalized("NFC", s) and all(_marks_of(c) <= max_marks and not _is_mark(c) for c in set(s)):
+        return s
     return unicodedata.normalize("NFC", MARKS.sub(lambda m: m[0][:max_marks], unicodedata.normalize("NFD", s)))
 
 
@@ -77,7 +94,7 @@ def is_zalgo(s: str, threshold: int = 3) -> bool:
 def fold_confusables(s: str, table: dict[int, str], rounds: int = 8) -> str:
     """Compose, map, and again until nothing changes."""
     for _ in range(rounds):
-        new = compose(s, table).translate(table)
+        new = map_chars(compose(s, table), table)
         if new == s:
             break
         s = new
@@ -131,7 +148,13 @@ def _is_emoji(cp: int) -> bool:
     return 0x2600 <= cp <= 0x27BF or 0x2B50 <= cp <= 0x2B55 or 0xFE00 <= cp <= 0xFE0F or 0x1F000 <= cp <= 0x1FAFF or 0x1FC00 <= cp <= 0x1FFFF or 0xE0020 <= cp <= 0xE007F
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=8192)
+def _emoji_like(c: str) -> bool:
+    """Whether a character can make ``demojize`` do anything."""
+    return not c.isascii() and (c in "\u200D\uFE0E\uFE0F\u20E3" or _is_emoji(ord(c)) or emoji_name(c) is not None)
+
+
+@lru_cache(maxsize=8192)
 def emoji_name(ch: str) -> str | None:
     if ch in EMOJI_NAMES:
         return EMOJI_NAMES[ch]
@@ -179,7 +202,7 @@ def demojize(s: str, strip_modifiers: bool = False, errors: str = "ignore", repl
     """
     if errors not in ("ignore", "replace", "preserve", "strict"):
         raise InvalidArgumentError(f"unknown errors mode {errors!r}")
-    if s.isascii():
+    if s.isascii() or (provider is None and not any(map(_emoji_like, set(s)))):
         return s
     out: list[str] = []
     i, after_emoji = 0, False
@@ -257,6 +280,14 @@ def grapheme_width(cluster: str, ambiguous_wide: bool = False) -> int:
 
 
 _CLUSTER = regex.compile(r"\X")
+#: Ranges whose characters are a cluster each, whatever is beside them (but for CR LF, both of no width).
+_ALONE = ((0x00, 0xAC), (0xAE, 0x2FF), (0x370, 0x482), (0x48A, 0x58F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF))
+
+
+@lru_cache(maxsize=8192)
+def _stands_alone(c: str) -> bool:
+    return any(a <= ord(c) <= b for a, b in _ALONE) and not _PRESENTED.match(c)
+
 
 
 def graphemes(s: str) -> list[str]:
@@ -264,8 +295,9 @@ def graphemes(s: str) -> list[str]:
 
 
 def terminal_width(s: str, ambiguous_wide: bool = False) -> int:
-    if s.isascii():
-        return sum(31 < ord(c) < 127 for c in s)
+    seen = set(s)
+    if all(map(_stands_alone, seen)):
+        return len(s) + sum(s.count(c) * (grapheme_width(c, ambiguous_wide) - 1) for c in seen if not " " <= c <= "~")
     return sum(grapheme_width(c, ambiguous_wide) for c in graphemes(s))
 
 
@@ -312,6 +344,7 @@ class Slugger:
         self.keys = re.compile("|".join(re.escape(k) for k, _ in replacements if k)) if any(k for k, _ in replacements) else None
         self.allow_unicode, self.entities, self.decimal, self.hexadecimal = allow_unicode, entities, decimal, hexadecimal
         self.default, self.safe = default, frozenset(safe_chars)
+        self.words = re.compile(f"[0-9A-Za-z{re.escape(''.join(c for c in safe_chars if c.isascii()))}]+")
 
     def _keeps(self, ch: str) -> bool:
         return ch.isalnum() or (self.allow_unicode and not ch.isascii() and not ch.isspace()) or ch in self.safe
@@ -328,8 +361,10 @@ class Slugger:
             s = s.lower()
         if self.pattern:
             s = self.pattern.sub("", s)
-        words = "".join(c if self._keeps(c) else "\0" for c in s).split("\0")
-        parts = [w for w in words if w]
+        if s.isascii():
+            parts = self.words.findall(s)
+        else:
+            parts = [w for w in "".join(c if self._keeps(c) else "\0" for c in s).split("\0") if w]
         if self.stopwords:
             if self.save_order:
                 while parts and parts[0] in self.stopwords:
@@ -387,6 +422,7 @@ class UniqueSlugger:
 
 
 PLATFORMS = {"universal": '/\\:*?"<>|\0', "windows": '/\\:*?"<>|\0', "posix": "/\0"}
+_ILLEGAL = {k: re.compile(rf"[\s\x00-\x1f\x7f-\x9f{re.escape(v)}]+") for k, v in PLATFORMS.items()}
 # Device names that Windows reserves.
 RESERVED = frozenset("CON PRN AUX NUL COM0 COM1 COM2 COM3 COM4 COM5 COM6 COM7 COM8 COM9 LPT0 LPT1 LPT2 LPT3 LPT4 LPT5 LPT6 LPT7 LPT8 LPT9 CLOCK$ KEYBD$ SCREEN$".split())
 
@@ -395,19 +431,17 @@ def sanitize_filename(s: str, romanize, separator: str = "_", max_length: int =
     """A name that is safe on the platform: never empty, no reserved device name, no trailing dots; a fixed point."""
     if platform not in PLATFORMS:
         raise InvalidArgumentError(f"platform must be one of {', '.join(PLATFORMS)}; got {platform!r}")
-    bad = PLATFORMS[platform]
-    illegal = lambda c: c in bad or unicodedata.category(c) == "Cc" or c.isspace()
+    illegal = _ILLEGAL[platform]
     dots = lambda x: re.sub(r"\.{2,}", ".", x)
     name = dots(romanize(dots(nfc(s)))).rstrip(". ")
     at = name.rfind(".") if preserve_extension else -1
     stem, ext = (name[:at], name[at:]) if at > 0 else (name, "")
-    parts = [p for p in "".join("\0" if illegal(c) else c for c in stem).split("\0") if p]
-    stem = separator.join(parts)
+    stem = separator.join(p for p in illegal.split(stem) if p)
     while separator and stem.endswith(separator):
         stem = stem.removesuffix(separator)
     stem = stem.strip(". ")
     if ext:
-        ext = "." + "".join(c for c in ext[1:] if not illegal(c))
+        ext = "." + illegal.sub("", ext[1:])
 
     def limited(name: str) -> str:
         if not max_length or len(name.encode()) <= max_length:

@@ -123,12 +123,18 @@ def has_bidi_conflict(c) -> Column:
 def detect_scripts(c) -> Column:
     """Scripts of a text in the order of their first characters, without Common and Inherited."""
     text = _col(c)
-    names = list(dict.fromkeys(s for _, _, s in S.SCRIPT_RANGES if s != "Inherited"))
-    places = F.array_compact(F.array(*(
-        F.when(F.regexp_instr(text, F.lit(f"[{S.java_class(S.ranges_of(s))}]")) > 0, F.struct(F.regexp_instr(text, F.lit(f"[{S.java_class(S.ranges_of(s))}]")).alias("at"), F.lit(s).alias("script")))
-        for s in names
-    )))
-    return F.when(text.isNotNull(), F.transform(F.sort_array(places), lambda x: x["script"]))
+
+    def script(ch: Column) -> Column:
+        case = F.when(F.ascii(ch) < 0x41, F.lit("Common"))
+        for a, b, name in S.SCRIPT_RANGES:
+            case = case.when(F.ascii(ch).between(a, b), F.lit(name))
+        return case.otherwise(F.lit("Common"))
+
+    found = F.array_distinct(F.transform(F.array_distinct(F.split(text, "")), script))
+    general = F.filter(found, lambda x: ~x.isin("Common", "Inherited"))
+    # Most texts hold no letter beyond the Latin blocks: one search tells, and one more whether they hold any.
+    latin = F.when(F.regexp_like(text, F.lit(f"[{S.java_class(r for r in S.ranges_of('Latin') if r[1] < 0x300)}]")), F.array(F.lit("Latin"))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.isNull(), F.lit(None)).when(~F.regexp_like(text, F.lit(r"[^\x{0}-\x{36F}]")), latin).otherwise(general)
 
 
 def escape_html(c) -> Column:

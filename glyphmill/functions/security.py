@@ -167,6 +167,9 @@ def _classify(token: str, lexicon: frozenset[str]) -> tuple[str, str] | None:
     return None
 
 
+#: Tokens that may be anomalous: they hold more than ASCII letters and wrapping punctuation.
+_TELLING = re.compile(r"(?<!\S)[A-Za-z\"',;:?()\[\]{}<>`]*[^\sA-Za-z\"',;:?()\[\]{}<>`]\S*")
+
 REASONS = {
     "invisible": '"{token}" contains an invisible character ({detail})',
     "bidi": '"{token}" contains a bidirectional control character ({detail})',
@@ -191,12 +194,11 @@ class Lexicon:
 
 def inspect_anomalies(s: str, lexicon: Lexicon) -> dict:
     """{anomalous, kinds, findings, reason}; a finding has a token, its span in UTF-8 bytes, kind and detail."""
-    findings, at = [], 0
-    for gap, token in re.findall(r"(\s*)(\S+)", s):
-        start = at + len(gap.encode())
-        at = start + len(token.encode())
-        if hit := _classify(token, lexicon.words):
-            findings.append({"kind": hit[0], "token": token, "start": start, "end": at, "detail": hit[1]})
+    findings = []
+    for m in _TELLING.finditer(s):
+        if hit := _classify(m[0], lexicon.words):
+            start = len(s[: m.start()].encode())
+            findings.append({"kind": hit[0], "token": m[0], "start": start, "end": start + len(m[0].encode()), "detail": hit[1]})
     reason = REASONS[findings[0]["kind"]].format(**findings[0]) if findings else None
     return {"anomalous": bool(findings), "kinds": list(dict.fromkeys(f["kind"] for f in findings)), "findings": findings, "reason": reason}
 

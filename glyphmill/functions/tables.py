@@ -137,10 +137,25 @@ def compose(s: str, table: dict[int, str]) -> str:
 
 def fold_case(s: str) -> str:
     """Full case folding with the letters that Unicode 16 added."""
-    return s.casefold() if s.isascii() else s.casefold().translate(_FOLD_16)
+    folded = s.casefold()
+    return folded if s.isascii() or not _NEW_16.search(folded) else folded.translate(_FOLD_16)
+
+
+def map_chars(s: str, table: dict[int, str]) -> str:
+    """``s.translate(table)`` for tables whose values hold no keys.
+
+    Few distinct keys are replaced one by one, which searches at memory speed; many go through ``translate``.
+    """
+    hits = [c for c in set(s) if ord(c) in table]
+    if len(hits) > 20:
+        return s.translate(table)
+    for c in hits:
+        s = s.replace(c, table[ord(c)])
+    return s
 
 
 _FOLD_16 = {0x1C89: "ᲊ", 0xA7CB: "ɤ", 0xA7CC: "ꟍ", 0xA7DA: "ꟛ", 0xA7DC: "ƛ"} | {c: chr(c + 0x20) for c in range(0x10D50, 0x10D66)}
+_NEW_16 = re.compile("[" + "".join(map(chr, _FOLD_16)) + "]")
 
 
 def _marks(s: str) -> str:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from . import charsets as S
 from .errors import InvalidArgumentError, ResourceLimitError
-from .tables import ALIASES, REVERSE, Tables, compose, hangul
+from .tables import ALIASES, REVERSE, Tables, compose, hangul, map_chars
 
 ERRORS = ("replace", "ignore", "preserve", "strict")
 # Languages that are accepted; those without a table of their own use the default.
@@ -56,6 +57,12 @@ def _class(ch: str) -> str:
     return "L" if S.script_of(ch) == "Latin" else "O"
 
 
+@lru_cache(maxsize=8192)
+def _simple(ch: str) -> bool:
+    """Neither spaced nor joined by the scanner."""
+    return _class(ch) in "LO"
+
+
 class Untranslatable(ValueError):
     def __init__(self, ch: str, byte_offset: int):
         super().__init__(f"no romanisation of {ch!r} (U+{ord(ch):04X}) at byte {byte_offset}")
@@ -180,6 +187,8 @@ class Romanizer:
         """Romanise; ``unknown(ch, index)`` gives what stands for a character without a romanisation."""
         lang = resolve_auto_lang(s) if self.lang == "auto" else self.lang
         table, out, before, last = self._table(lang), [], "", ""
+        if all(c < "\x80" or (_simple(c) and table.get(ord(c))) for c in set(s)):
+            return map_chars(s, table)  # no character depends on those beside it
         for i, ch in enumerate(s):
             now = _class(ch)
             spaced = last.isalnum() and (
@@ -271,7 +280,9 @@ SCAN_LIMIT = 2000
 
 def inspect_auto_lang(s: str) -> dict:
     """{script, lang, reason, discriminators} of what ``lang="auto"`` makes of a text."""
-    script = next((x for x in map(S.script_of, s) if x not in ("Common", "Inherited", "Latin")), None)
+    script = None
+    if any(S.script_of(c) not in ("Common", "Inherited", "Latin") for c in set(s)):
+        script = next(x for x in map(S.script_of, s) if x not in ("Common", "Inherited", "Latin"))
     answer = {"script": script, "lang": None, "reason": "no_detection", "discriminators": []}
     if script is None and s.isascii():
         return answer

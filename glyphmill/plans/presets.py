@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+from ..functions import charsets as S
 from ..functions import kernels as K
 from ..functions.charsets import script_of
-from ..functions.tables import Tables, fold_case
+from ..functions.tables import Tables, fold_case, map_chars
 from ..functions.translit import Romanizer
 
 ROUNDS = 8
@@ -57,6 +59,8 @@ class Runner:
 
     def _non_latin(self, s: str, errors: str) -> str:
         """Runs of letters of other scripts romanised; Latin letters and their marks stay."""
+        if all(script_of(c) in ("Latin", "Common", "Inherited") for c in set(s)):
+            return s
         runs: list[tuple[bool, str]] = []
         for ch in s:
             script = script_of(ch)
@@ -70,7 +74,7 @@ class Runner:
     def _catalog(self, s: str) -> str:
         table = self.tables.confusables("latin")
         for _ in range(ROUNDS):
-            new = K.strip_accents(self._romanize("preserve")(s).translate(table))
+            new = K.strip_accents(map_chars(self._romanize("preserve")(s), table))
             if new == s:
                 break
             s = new
@@ -97,11 +101,11 @@ class Runner:
             case "fold_case":
                 return fold_case(s) if self.fold else s
             case "confusables":
-                return s.translate(self.tables.confusables(parameter))
+                return map_chars(s, self.tables.confusables(parameter))
             case "confusables_fixed_point":
                 table = self.tables.confusables(parameter)
                 for _ in range(ROUNDS):
-                    new = K.nfc(s.translate(table))
+                    new = K.nfc(map_chars(s, table))
                     if new == s:
                         break
                     s = new
@@ -119,11 +123,29 @@ class Runner:
         raise ValueError(f"unknown step {name!r}")
 
     def run(self, steps: Steps, s: str) -> str:
+        seen, of = set(s), s
         for name, parameter in steps:
+            if of is not s:
+                seen, of = set(s), s
+            if name in IDLE and not any(map(IDLE[name], seen)):
+                continue
             s = self.step(name, parameter, s)
         return s
 
 
+def _in_ranges(*ranges):
+    """A cached test of single characters."""
+    return lru_cache(maxsize=8192)(lambda c: any(a <= ord(c) <= b for a, b in ranges))
+
+
+_one_of = lambda chars: frozenset(chars).__contains__
+#: Steps that do nothing to a text without such a character: tested on the distinct characters of the text.
+IDLE = {
+    "strip_bidi": _one_of(S.BIDI), "strip_zero_width": _one_of(S.ZERO_WIDTH), "strip_control": _in_ranges((0, 8), (0x0E, 0x1B), (0x7F, 0x84), (0x86, 0x9F)),
+    "strip_invisible": _in_ranges((ord(S.GRAPHEME_JOINER),) * 2, S.TAG_RANGE, *S.SELECTOR_RANGES, *S.NONCHARACTER_RANGES, *S.PRIVATE_RANGES),
+}
+
+
 def preset(name: str, tables: Tables, **options):
     """A preset as a function on ``str``."""
     name = ALIASES.get(name, name)
