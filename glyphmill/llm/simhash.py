@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, others
+from .common import cut, fresh, others, small
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Bits of the six blocks, in pairs: 5 or 6 segments each.
@@ -157,11 +157,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     together: one stays if a component consists of such rows only.
     """
     judged = near_dedup(docs, id_col=id_col, text_col=text_col)
-    stay, one = fresh(docs.columns, "stay_id", "stay_row")
-    winners = cut(judged.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(stay)))
-    kept = docs.join(winners.distinct(), F.col(id_col).eqNullSafe(F.col(stay)), "left_semi")
-    repeated = winners.groupBy(stay).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    if repeated:
+    gone, one = fresh(docs.columns, "gone_id", "stay_row")
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    ids = cut(judged.groupBy(F.col(id_col).alias(gone)).agg(F.sum(F.when(stays, 1).otherwise(0)).alias("winners")))
+    # The ids that go are few where copies are few, so texts are not shuffled to find what stays.
+    losers = ids.filter("winners = 0").select(gone)
+    kept = docs.join(small(losers), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    if ids.filter("winners > 1").isEmpty():
         return kept
     from pyspark.sql import Window
 
