@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 16  # hashed features of the text view
-META = 64  # hashed features of the metadata view, before its numbers
+META, NUMBERS = 64, 9  # hashed features of the metadata view, and numbers after them
 #: Bounds of what is fitted: labelled and unlabelled documents, chosen by the hash of their ids.
-MAX_LABELLED, MAX_POOL = 6_000, 6_000
+MAX_LABELLED, MAX_POOL = 4_000, 4_000
 ROUNDS, PER_ROUND, SURE, HELD_OUT = 3, 300, 0.9, 0.25
 SEEN = 300_000  # remembered words of a partition; it only saves work
 
@@ -36,21 +36,23 @@ class _Hashed(dict):
 
 
 def text_view(text: str | None, hashed: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and word endings of a whole text, with shares of all words (square roots) as values."""
+    """Hashed words, word endings and repetitions of a whole text, with shares of all words (square roots) as values."""
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     find = hashed.__getitem__
     at = np.fromiter(map(find, words), np.int32, len(words))
     ends = np.fromiter(map(find, ["\n" + w[-2:] for w in words]), np.int32, len(words))
-    index, count = np.unique(np.concatenate((at, ends)), return_counts=True)
+    again = np.full(int((at[1:] == at[:-1]).sum()), find("\nsame"), np.int32)  # words that repeat the one before
+    old = np.full(len(at) - len(np.unique(at)), find("\nseen"), np.int32)  # words that occurred before
+    index, count = np.unique(np.concatenate((at, ends, again, old)), return_counts=True)
     value = np.sqrt(count / len(words))
     return index.astype(np.int32), (value / np.sqrt((value * value).sum())).astype(np.float32)
 
 
 def meta_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
     """One-hot hashes of language and source, and numbers of length and layout."""
-    out = np.zeros(META + 8, np.float32)
+    out = np.zeros(META + NUMBERS, np.float32)
     for name, value in (("lang", lang), ("source", source)):
         out[xxhash.xxh32_intdigest(f"{name}={value}".encode("utf-8", "surrogatepass")) % META] += 1
     text = text or ""
@@ -59,7 +61,8 @@ def meta_view(text: str | None, lang: str | None, source: str | None) -> np.ndar
     seen = np.bincount(raw, minlength=128)[:128]
     upper, digit, space = seen[65:91].sum(), seen[48:58].sum(), seen[9:14].sum() + seen[32]
     symbol = seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum()
-    out[META:] = (np.log1p(len(text)) / 10, upper / n * 4, digit / n * 4, symbol / n * 4, space / n * 2, np.log1p(seen[10]) / 4, np.log1p(n / (1 + seen[10])) / 8, 1)
+    lines = text.split("\n")
+    out[META:] = (1 - len(set(lines)) / len(lines), np.log1p(len(text)) / 10, upper / n * 4, digit / n * 4, symbol / n * 4, space / n * 2, np.log1p(seen[10]) / 4, np.log1p(n / (1 + seen[10])) / 8, 1)
     return out
 
 
@@ -103,10 +106,10 @@ def sigmoid(x):
 
 
 def fit_logistic(x, y: np.ndarray, weight: np.ndarray, steps: int = 120, penalty: float = 1e-4) -> np.ndarray:
-    """Weights and a bias (last) of a logistic regression, by full-batch AdaGrad; classes weigh alike."""
+    """Weights and a bias (last) of a logistic regression, by full-batch AdaGrad; classes weigh as they occur."""
     w = np.zeros(x.width + 1)
     square = np.full(x.width + 1, 1e-8)
-    weight = weight * np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y <= 0].sum()))
+    weight = weight / weight.sum()
     for _ in range(steps):
         g = (sigmoid(x.dot(w[:-1]) + w[-1]) - y) * weight
         grad = np.append(x.tdot(g) + penalty * w[:-1], g.sum())
@@ -229,7 +232,7 @@ def fit(
     sparse = lambda r: (np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32))
     with_label = [r for r in once.values() if r["label"] is not None]
     without = [r for r in once.values() if r["label"] is None]
-    dense = lambda rs: np.stack([np.frombuffer(r["meta"], np.float32) for r in rs]) if rs else np.zeros((0, META + 8), np.float32)
+    dense = lambda rs: np.stack([np.frombuffer(r["meta"], np.float32) for r in rs]) if rs else np.zeros((0, META + NUMBERS), np.float32)
     y = np.array([1 if r["label"] > 0 else 0 for r in with_label])
     return cotrain([sparse(r) for r in with_label], dense(with_label), y, [sparse(r) for r in without], dense(without))
 
