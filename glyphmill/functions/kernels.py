@@ -23,8 +23,7 @@ _ANY_SPACE = re.escape(S.FOLD_SPACE + S.BLANK_LETTERS)
 # Only what changes: a run that begins with another space than U+0020, or is longer than one.
 _SPACE = re.compile(f"[{re.escape((S.FOLD_SPACE + S.BLANK_LETTERS).replace(' ', ''))}][{_ANY_SPACE}]*| [{_ANY_SPACE}]+")
 _CONTROL = re.compile("[" + _span(S.merged({c for c in (*range(32), *range(127, 160)) if chr(c) not in S.FOLD_SPACE})) + "]+")
-_ZERO = re.compile(f"[{S.ZERO_WIDTH}]+")
-_BIDI = re.compile(f"[{S.BIDI}]+")
+_ZERO, _BIDI = frozenset(S.ZERO_WIDTH), frozenset(S.BIDI)
 _TAGS = re.compile(f"({'|'.join(S.FLAGS)})|[{_span([S.TAG_RANGE])}]")
 _NONCHARACTERS = re.compile(f"[{S.GRAPHEME_JOINER}{_span(S.NONCHARACTER_RANGES)}]+")
 _HIDDEN = re.compile(f"[{_span(S.SELECTOR_RANGES + S.PRIVATE_RANGES)}]+")
@@ -48,12 +47,18 @@ def strip_accents(s: str) -> str:
     return unicodedata.normalize("NFC", apart)
 
 
+def _without(s: str, chars: frozenset[str]) -> str:
+    for c in chars.intersection(s):
+        s = s.replace(c, "")
+    return s
+
+
 def strip_bidi(s: str) -> str:
-    return s if s.isascii() else _BIDI.sub("", s)
+    return s if s.isascii() else _without(s, _BIDI)
 
 
 def strip_zero_width(s: str) -> str:
-    return s if s.isascii() else _ZERO.sub("", s)
+    return s if s.isascii() else _without(s, _ZERO)
 
 
 def strip_control(s: str) -> str:
@@ -204,50 +209,65 @@ def demojize(s: str, strip_modifiers: bool = False, errors: str = "ignore", repl
         raise InvalidArgumentError(f"unknown errors mode {errors!r}")
     if s.isascii() or (provider is None and not any(map(_emoji_like, set(s)))):
         return s
+    seen = set(s)
+    telling = "".join(sorted(c for c in seen if not c.isascii() and (provider or _emoji_like(c))))
+    place = _places(telling, "\u20E3" in seen)
     out: list[str] = []
     i, after_emoji = 0, False
     while i < len(s):
+        m = place.search(s, i)
+        if m is None or m.start() > i:  # what is no emoji is copied whole
+            plain = s[i : m.start()] if m else s[i:]
+            if after_emoji and plain[0].isalnum():
+                out.append(" ")
+            out.append(plain)
+            after_emoji, i = False, i + len(plain)
+            continue
         ch = s[i]
-        if ch in "\uFE0E\uFE0F\u200D":
+        if ch in "\u200D\uFE0E\uFE0F":
             i += 1
             continue
-        hit = None
-        if provider and (not ch.isascii()):
-            for n in range(min(MAX_SEQUENCE, len(s) - i), 0, -1):
-                try:
-                    name = provider([ord(c) for c in s[i : i + n]])
-                except Exception:  # noqa: BLE001  a provider's failure is no answer
-                    name = None
-                if isinstance(name, str):
-                    hit = name, n
-                    break
-        hit = hit or _sequence(s, i)
-        if hit:
+        if hit := _provided(s, i, provider) or _sequence(s, i):
             name, n = hit
-            if strip_modifiers:
-                name = name.split(": ")[0]
             if out and not out[-1][-1:].isspace():
                 out.append(" ")
-            out.append(name)
-            i = _EMOJI_MODIFIER.match(s, i + n).end()
-            after_emoji = True
-            continue
-        if _is_emoji(ord(ch)):
+            out.append(name.split(": ")[0] if strip_modifiers else name)
+            i, after_emoji = _EMOJI_MODIFIER.match(s, i + n).end(), True
+        elif _is_emoji(ord(ch)):
             if errors == "strict":
                 raise InvalidArgumentError(f"no name of emoji U+{ord(ch):04X}")
             if errors != "ignore":
                 out.append(replace_with if errors == "replace" else ch)
-            i = _EMOJI_MODIFIER.match(s, i + 1).end()
-            after_emoji = False
-            continue
-        if after_emoji and ch.isalnum():
-            out.append(" ")
-        out.append(ch)
-        after_emoji = False
-        i += 1
+            i, after_emoji = _EMOJI_MODIFIER.match(s, i + 1).end(), False
+        else:
+            if after_emoji and ch.isalnum():
+                out.append(" ")
+            out.append(ch)
+            i, after_emoji = i + 1, False
     return "".join(out)
 
 
+@lru_cache(maxsize=1024)
+def _places(chars: str, keycaps: bool) -> re.Pattern:
+    """Where an emoji may begin: at one of the characters, or at a keycap."""
+    parts = ([f"[{re.escape(chars)}]"] if chars else []) + (["[0-9#*](?=\uFE0F?\u20E3)"] if keycaps else [])
+    return re.compile("|".join(parts) or r"(?!)")
+
+
+def _provided(s: str, i: int, provider) -> tuple[str, int] | None:
+    """What a provider makes of the longest window at a place; a failure is no answer."""
+    if provider is None or s[i].isascii():
+        return None
+    for n in range(min(MAX_SEQUENCE, len(s) - i), 0, -1):
+        try:
+            name = provider([ord(c) for c in s[i : i + n]])
+        except Exception:  # noqa: BLE001
+            continue
+        if isinstance(name, str):
+            return name, n
+    return None
+
+
 # Width. East Asian width of Unicode 15.1, by rule.
 
 

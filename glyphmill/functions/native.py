@@ -52,7 +52,9 @@ remove_accents = ascii_fold = strip_accents
 
 
 def collapse_whitespace(c) -> Column:
-    return F.trim(F.regexp_replace(_col(c), f"[{S.SPACE_CLASS}]+", " "))
+    # Only runs that change are replaced: those that begin with another space than U+0020, or are longer than one.
+    other = S.java_class(S.merged({ord(x) for x in S.FOLD_SPACE + S.BLANK_LETTERS} - {0x20}))
+    return F.trim(F.regexp_replace(_col(c), f"[{other}][{S.SPACE_CLASS}]*|\\x20[{S.SPACE_CLASS}]+", " "))
 
 
 def strip_control_chars(c) -> Column:

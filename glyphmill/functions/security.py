@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from . import kernels as K
 from .charsets import CJK
@@ -167,9 +168,19 @@ def _classify(token: str, lexicon: frozenset[str]) -> tuple[str, str] | None:
     return None
 
 
-#: Tokens that may be anomalous: they hold more than ASCII letters and wrapping punctuation.
-_TELLING = re.compile(r"(?<!\S)[A-Za-z\"',;:?()\[\]{}<>`]*[^\sA-Za-z\"',;:?()\[\]{}<>`]\S*")
+@lru_cache(maxsize=8192)
+def _plain(c: str) -> bool:
+    """A Latin letter that no rule for characters outside ASCII looks at."""
+    return c.isalpha() and K.detect_scripts(c) == ["Latin"] and K._marks_of(c) <= 1
 
+
+@lru_cache(maxsize=1024)
+def _telling(odd: str) -> re.Pattern:
+    """What a token must hold to be anomalous: an odd character, a leet sign, or two separators."""
+    return re.compile(f"[0-9@$|+{re.escape(odd)}]|.!.|[._-].*[._-]")
+
+
+_TOKEN = re.compile(r"\S+")
 REASONS = {
     "invisible": '"{token}" contains an invisible character ({detail})',
     "bidi": '"{token}" contains a bidirectional control character ({detail})',
@@ -195,8 +206,9 @@ class Lexicon:
 def inspect_anomalies(s: str, lexicon: Lexicon) -> dict:
     """{anomalous, kinds, findings, reason}; a finding has a token, its span in UTF-8 bytes, kind and detail."""
     findings = []
-    for m in _TELLING.finditer(s):
-        if hit := _classify(m[0], lexicon.words):
+    telling = _telling("".join(sorted(c for c in set(s) if not c.isascii() and not _plain(c) and not c.isspace())))
+    for m in _TOKEN.finditer(s):
+        if telling.search(m[0]) and (hit := _classify(m[0], lexicon.words)):
             start = len(s[: m.start()].encode())
             findings.append({"kind": hit[0], "token": m[0], "start": start, "end": start + len(m[0].encode()), "detail": hit[1]})
     reason = REASONS[findings[0]["kind"]].format(**findings[0]) if findings else None
