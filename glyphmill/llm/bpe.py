@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 #: The split pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A partition's table of pieces is emptied when it holds so many; it only saves work.
-MAX_PIECES = 400_000
+MAX_PIECES = 200_000
 #: Characters of text that are encoded together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def vocabulary_path() -> str:
@@ -225,10 +225,11 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[list[str | None]]:
-    """Runs of texts of about ``limit`` characters; a longer text is a run of its own."""
+def chunks(texts, limit: int = CHUNK) -> Iterator[list[str | None]]:
+    """Runs of texts (of an Arrow column or a list) of about ``limit`` characters; a longer text is a run of its own."""
     out, size = [], 0
     for t in texts:
+        t = t.as_py() if isinstance(t, pa.Scalar) else t
         if out and size + len(t or "") > limit:
             yield out
             out, size = [], 0
@@ -262,7 +263,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
         encoder = bpe.encoder()
         for batch in batches:
             begin = 0
-            for texts in chunks(batch.column(at).to_pylist()):
+            for texts in chunks(batch.column(at)):
                 tokens = encoder.encode_batch(texts)
                 decoded = [bpe.decode(t.tolist()) for t in tokens]
                 columns = [pa.array(map(len, tokens), pa.int64())]

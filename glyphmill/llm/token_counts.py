@@ -36,7 +36,7 @@ def write_flat(docs: DataFrame, target: str, *, text_col: str = "text", path: st
         vocabulary = bpe.load(path)
         encoder = vocabulary.encoder(added=False)
         for batch in batches:
-            for texts in bpe.chunks(batch.column(0).to_pylist()):
+            for texts in bpe.chunks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([t.astype(KIND[width]).tobytes() for t in encoder.encode_batch(texts)], pa.binary())], names=["ids"])
 
     separator = int(end).to_bytes(width, "little").decode("latin-1")
