@@ -13,6 +13,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +43,9 @@ OFF_WORDS = frozenset(
 ON_ELEMENTS = frozenset("article main".split())
 ON_WORDS = frozenset("article content post entry story main body text".split())
 
+#: First parts of class names that tell what a page has, not what an element is.
+STATES = frozenset("no has with without is not hide show".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<|[^<]+", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -49,6 +53,21 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 GAP = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=20_000)
+def named_parts(value: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Words in a class, id or role that mark page parts: (off, on)."""
+    off, on = set(), set()
+    for name in value.split():
+        parts = [w.lower() for w in PART.findall(name)]
+        if not parts or (len(parts) > 1 and parts[0] in STATES):
+            continue
+        on.update(w for w in parts if w in ON_WORDS)
+        off.update(w for w in parts if w in OFF_WORDS)
+        # Words written together: sitefooter, commentlist.
+        off.update(w for p in parts if p not in OFF_WORDS for w in OFF_WORDS if 6 <= len(w) < len(p) and (p.startswith(w) or p.endswith(w)))
+    return frozenset(off), frozenset(on)
+
+
 class Node:
     """An open element: what it and the elements around it say about its text."""
 
@@ -58,16 +77,12 @@ class Node:
         self.name, self.parent, self.children = name, parent, 0
         self.depth = parent.depth + 1 if parent else 0
         off, on, skip = (parent.off, parent.on, parent.skip) if parent else (False, False, False)
-        words = set()
-        for key in ("class", "id", "role"):
-            if key in attributes:
-                words.update(w.lower() for w in PART.findall(attributes[key]))
+        named, good = named_parts(" ".join(attributes[key] for key in ("class", "id", "role") if key in attributes))
         whole = name in ("html", "body") or name in ON_ELEMENTS  # their classes describe the page
-        if name in ON_ELEMENTS or words & ON_WORDS:
+        if name in ON_ELEMENTS or (good and name not in ("html", "body")):
             on = True
         if not whole:
-            named = words & OFF_WORDS
-            if named - {"header"} or (named and not words & ON_WORDS):
+            if named - {"header"} or (named and not good):
                 off = True
             if name in OFF_ELEMENTS or (name == "header" and not on):
                 off = True
