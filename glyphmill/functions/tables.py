@@ -42,12 +42,21 @@ SIGNS = "‘' ’' ‚, ‛' “\" ”\" „\" ‟\" ‹< ›> «<< »>> –- 
 
 # Consonants of the Indic core blocks, from the 21st place of a block on.
 INDIC = "ka kha ga gha nga cha chha ja jha nya ta tha da dha na ta tha da dha na na pa pha ba bha ma ya ra ra la la la va sha sha sa ha".split(" ")
+# Sinhala from U+0D85 (vowels), U+0D9A (consonants) and U+0DCF (vowel signs); a hyphen is an unassigned place.
+SINHALA = {
+    0x0D85: "a a ae ae i i u u r r l l e e ai o o au".split(" "),
+    0x0D9A: "ka kha ga gha nga nnga cha chha ja jha nya jnya nja ta tha da dha na nda ta tha da dha na - nda pa pha ba bha ma mba ya ra - la - - va sha sha sa ha la fa".split(" "),
+    0x0DCF: "a ae ae i i u - u - r e e ai o o au l".split(" "),
+}
 # Letters of other scripts where the default is not ICU's.
 SCRIPTS = (
     "\u0621' \u0623a \u0624' \u0625a \u0626' \u0627a \u0629h \u062Dh \u0635s \u0636d \u0637t \u0638z \u0639' \u063Agh \u0649a \u064Ea \u064Fu \u0650i \u0651W \u0670a \u0671a \u0679t \u0687ch \u0688d \u0691r \u0698zh \u06D0e "
     "\u05B0e \u05C0 \u05D0' \u05D1v \u05D7ch \u05D8t \u05DAkh \u05DBkh \u05E2 \u05E3f \u05E4f \u05E5ts \u05E6ts \u05E7q \u05E9sh \u05F0v \u05F1vy \u05F2y "
     "\u0538Y \u0539T \u0548Vo \u0549Ch \u054CR \u0551Ts \u0552V \u0553P \u0554K \u0559' \u0568y \u0569t \u0578vo \u0579ch \u057Cr \u0581ts \u0582v \u0583p \u0584k \u0587yev \u0588yi "
     "\u10D7t \u10E4p \u10E5k \u10E6gh \u10E9ch \u10EAts \u10EBdz \u10ECts \u10EEkh \u10F1he \u10F2hi \u10F4har \u10F5ho "
+    "\u05D5v \uFB2Ash \uFB2Bs \u056Dkh \u053DKh \uFB17mkh \u0BB4zha \u0E33am "
+    "\u0E81k \u0E82kh \u0E84kh \u0E87ng \u0E88ch \u0EAAs \u0E8As \u0E8Dny \u0E94d \u0E96th \u0E97th \u0E99n \u0E9Ab \u0E9Bp \u0E9Cph \u0E9Df \u0E9Eph \u0E9Ff \u0EA1m \u0EA2y \u0EA3r \u0EA5l \u0EA7w \u0EABh \u0EAEh "
+    "\u0EB0a \u0EB1a \u0EB3am \u0EB4i \u0EB8u \u0EBBo \u0EBCl \u0EC0e \u0EC2o \u0EC4ai "
     "\u0E08ch \u0E0Bs \u0E24rue \u0E26lue \u0E2Do \u0E32a \u0E35i \u0E37ue \u0E39u \u0E45a \u0E4Dm \u0E95t \u0EADo \u0EB2a \u0EB5i \u0EB6ue \u0EB7ue \u0EB9u \u0EBDy \u0EC1ae \u0EC3ai \u0ECDm"
 )
 
@@ -297,6 +306,7 @@ def _translit(transliterator) -> tuple[dict[int, str], dict[int, str]]:
     default |= _with_lower(CYRILLIC) | _with_lower(GREEK) | _pairs(LATIN) | _pairs(SIGNS)
     for block in range(0x0900, 0x0D80, 0x80):
         default |= {block + 0x15 + k: v for k, v in enumerate(INDIC) if unicodedata.category(chr(block + 0x15 + k)) == "Lo"}
+    default |= {first + k: v for first, values in SINHALA.items() for k, v in enumerate(values) if v != "-"} | {0x0D82: "m", 0x0D83: "h"}
     default |= _pairs(SCRIPTS)
     for c in (*range(0x370, 0x400), *range(0x1F00, 0x2000)):
         base = _marks(unicodedata.normalize("NFD", chr(c)))
