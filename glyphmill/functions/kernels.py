@@ -141,7 +141,7 @@ def has_bidi_conflict(s: str) -> bool:
 EMOJI_NAMES = {
     "\U0001F44D": "thumbs up", "\U0001F44E": "thumbs down", "❤": "red heart", "☕": "hot beverage", "\U0001F602": "face with tears of joy", "\U0001F680": "rocket", "\U0001F4A9": "pile of poo",
     "☀": "sun", "☁": "cloud", "☂": "umbrella", "☎": "telephone", "✔": "check mark", "✖": "multiply", "\U0001F389": "party popper", "\U0001F4AF": "hundred points",
-    "\U0001F1E6": "regional indicator A",
+    "\U0001F355": "pizza", "\U0001F30D": "globe showing Europe-Africa", "\U0001F30E": "globe showing Americas", "\U0001F30F": "globe showing Asia-Australia", "✅": "check mark button", "❌": "cross mark",
 }
 SKIN = {"\U0001F3FB": "light skin tone", "\U0001F3FC": "medium-light skin tone", "\U0001F3FD": "medium skin tone", "\U0001F3FE": "medium-dark skin tone", "\U0001F3FF": "dark skin tone"}
 # Names of families and pairs by their members.

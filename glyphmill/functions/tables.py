@@ -31,14 +31,14 @@ COMPAT_JAMO = "g kk gs n nj nh d tt r lg lm lb ls lt lp lh m b pp bs s ss - j jj
 # Default romanisation of Cyrillic, letter by letter.
 CYRILLIC = (
     "АA БB ВV ГG ДD ЕE ЁYo ЖZh ЗZ ИI ЙY КK ЛL МM НN ОO ПP РR СS ТT УU ФF ХKh ЦTs ЧCh ШSh ЩShch Ъ ЫY Ь ЭE ЮYu ЯYa "
-    "ЂDj ЃGj ЄYe ЅDz ІI ЇYi ЈJ ЉLj ЊNj ЋC ЌKj ЎU ЏDz ҐG ЀE ЍI ӘA ӨO ҮU ҰU ҚQ ҒGh ҢNg ҲH ҺH ӢI ӮU ҶJ ӃK"
+    "ЂDj ЃGj ЄYe ЅDz ІI ЇYi ЈJ ЉLj ЊNj ЋTsh ЌKj ЎU ЏDzh ҐG ЀE ЍI ӘA ӨO ҮU ҰU ҚQ ҒGh ҢNg ҲH ҺH ӢI ӮU ҶJ ӃK"
 )
 # Default romanisation of Greek.
 GREEK = "ΑA ΒV ΓG ΔD ΕE ΖZ ΗI ΘTh ΙI ΚK ΛL ΜM ΝN ΞX ΟO ΠP ΡR ΣS ΤT ΥY ΦF ΧCh ΨPs ΩO ςs ͰH Ϲs"
 # Latin letters that do not decompose.
 LATIN = "ßss ẞSS æae ÆAE œoe ŒOE øo ØO đd ĐD łl ŁL þth ÞTh ðd ÐD ıi ĸk ŋng ŊNG ħh ĦH ŧt ŦT ĳij ĲIJ ŉ'n ſs Ɂ' ɂ' ƒf"
 # Punctuation and signs.
-SIGNS = "‘' ’' ‚, ‛' “\" ”\" „\" ‟\" ‹< ›> «<< »>> –- —-- ―-- ‐- ‑- …... •* ·* ′' ″\" №No ©(c) ®(r) ™tm €EUR £GBP ¥JPY ¢c §SS ¶P °deg ±+/- ×x ÷/ ¡! ¿? 。. 、, ・· 「[ 」] ！! ？? ，, ：: ；; ー-"
+SIGNS = "‘' ’' ‚, ‛' “\" ”\" „\" ‟\" ‹< ›> «<< »>> –- —-- ―-- ‐- ‑- …... •* ·* ′' ″\" №No ©(c) ®(r) ™tm €EUR £GBP ¥JPY ¢c §SS ¶P °deg ±+/- ×x ÷/ ¡! ¿? 。. 、, 「[ 」] ！! ？? ，, ：: ；; ー-"
 
 # Consonants of the Indic core blocks, from the 21st place of a block on.
 INDIC = "ka kha ga gha nga cha chha ja jha nya ta tha da dha na ta tha da dha na na pa pha ba bha ma ya ra ra la la la va sha sha sa ha".split(" ")
@@ -48,12 +48,29 @@ SINHALA = {
     0x0D9A: "ka kha ga gha nga nnga cha chha ja jha nya jnya nja ta tha da dha na nda ta tha da dha na - nda pa pha ba bha ma mba ya ra - la - - va sha sha sa ha la fa".split(" "),
     0x0DCF: "a ae ae i i u - u - r e e ai o o au l".split(" "),
 }
+# Old scripts from a first code point on; a hyphen is a place without a value.
+OLD_SCRIPTS = {
+    0x1681: "b l f s n h d t c q m g ng z r a o u e i ea oi ui ia ae p".split(" "),
+    0x10330: "a b g d e q z h th i k l m n j u p 90 r s t w f x hw o 900".split(" "),
+    0x103A0: "a i u ka ku ga gu xa ca ja ji ta tu da di du tha pa ba fa na nu ma mi mu ya va vi ra ru la sa za sha ssa ha".split(" "),
+    0x103C8: "Auramazda Auramazda Auramazda dahyaus dahyaus baga bumis - - 1 2 10 20 100".split(" "),
+    0x10000: (
+        "a e i o u da de di do du ja je - jo - ju ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu pa pe pi po qa qe qi qo - ra re ri ro ru sa se si so su ta te ti to tu - - wa we wi wo za ze - zo "
+        "a2 a3 au dwe dwo nwa phu pte pu2 ra2 ra3 ro2 ta2 two twe *18 *19 *22 *34 *47 *49 *56 *63"
+    ).split(" "),
+}
+# Vowels of the Ethiopic syllables in a row of eight.
+ETHIOPIC = ("e", "u", "i", "a", "e", "", "o", "wa")
 # Letters of other scripts where the default is not ICU's.
 SCRIPTS = (
     "\u0621' \u0623a \u0624' \u0625a \u0626' \u0627a \u0629h \u062Dh \u0635s \u0636d \u0637t \u0638z \u0639' \u063Agh \u0649a \u064Ea \u064Fu \u0650i \u0651W \u0670a \u0671a \u0679t \u0687ch \u0688d \u0691r \u0698zh \u06D0e "
     "\u05B0e \u05C0 \u05D0' \u05D1v \u05D7ch \u05D8t \u05DAkh \u05DBkh \u05E2 \u05E3f \u05E4f \u05E5ts \u05E6ts \u05E7q \u05E9sh \u05F0v \u05F1vy \u05F2y "
     "\u0538Y \u0539T \u0548Vo \u0549Ch \u054CR \u0551Ts \u0552V \u0553P \u0554K \u0559' \u0568y \u0569t \u0578vo \u0579ch \u057Cr \u0581ts \u0582v \u0583p \u0584k \u0587yev \u0588yi "
     "\u10D7t \u10E4p \u10E5k \u10E6gh \u10E9ch \u10EAts \u10EBdz \u10ECts \u10EEkh \u10F1he \u10F2hi \u10F4har \u10F5ho "
+    "\u16A6th \u16B2k \u16B7g \u16B9w \u16BAh \u16BEn \u16C1i \u16C3j \u16C8p \u16C9z \u16CAs \u16CFt \u16D2b \u16D6e \u16D7m \u16DAl \u16DCng \u16DFo \u16DEd \u16EB. \u16EC: "
+    "\u3062di \u3065du \u30C2di \u30C5du \u053AZh \u056Azh \u0547Sh \u0577sh \u053ETs \u056Ets \u0542Gh \u0572gh \u0541Dz \u0571dz \u058A- "
+    "\u0E31a \u0E34i \u0E36ue \u0E38u \u0E40e \u0E41ae \u0E42o \u0E43ai \u0E44ai \u0E3FB \u0E48 \u0E49 \u0E4A \u0E4B \u0E4C \u0EC8 \u0EC9 \u0ECA \u0ECB \u0ECC "
+    "\u1362. \u1363, \u1364; \u1365: \u1367? \u17B7e \u05B1e \u05B2a \u05B3o \u05B4i \u05B5e \u05B6e \u05B7a \u05B8a \u05B9o \u05BAo \u05BBu \uFB4Fal "
     "\u05D5v \uFB2Ash \uFB2Bs \u056Dkh \u053DKh \uFB17mkh \u0BB4zha \u0E33am "
     "\u0E81k \u0E82kh \u0E84kh \u0E87ng \u0E88ch \u0EAAs \u0E8As \u0E8Dny \u0E94d \u0E96th \u0E97th \u0E99n \u0E9Ab \u0E9Bp \u0E9Cph \u0E9Df \u0E9Eph \u0E9Ff \u0EA1m \u0EA2y \u0EA3r \u0EA5l \u0EA7w \u0EABh \u0EAEh "
     "\u0EB0a \u0EB1a \u0EB3am \u0EB4i \u0EB8u \u0EBBo \u0EBCl \u0EC0e \u0EC2o \u0EC4ai "
@@ -103,7 +120,7 @@ DIGITS_TR39 = {
 }
 # Composed letters that fold to their base, and letters that fold across scripts.
 LISTED_COMPOSED = frozenset((0x00C7, 0x00E7))
-CROSS_SCRIPT = {0x04CF: "l", 0x04C0: "l"}
+CROSS_SCRIPT = {0x04CF: "l", 0x2502: "l", 0x2211: "s", 0x03A3: "S"}
 #: Digraphs that look like one letter; for host names only.
 CONTRACTIONS = {"rn": "m", "vv": "w", "cl": "d"}
 
@@ -249,6 +266,11 @@ def _confusables(checker) -> tuple[dict[int, str], dict[int, str], frozenset[int
         if c > 0x7F and unicodedata.category(chr(c)) == "Nd" and (c in latin or c in sources):
             latin[c] = str(unicodedata.decimal(chr(c)))
     latin |= {ord("|"): "l", ord('"'): "''", ord("`"): "'"} | CROSS_SCRIPT
+    for c in points:
+        if latin.get(c) == "l" and unicodedata.category(chr(c)) == "Lu":
+            latin[c] = "I"  # a capital looks like the capital
+        if c > 0x3A3 and unicodedata.normalize("NFKC", chr(c)) == "Σ":
+            latin[c] = "S"
     latin = {c: v for c, v in latin.items() if v.strip()}
     cyrillic = {c: v for c, v in target(_is_cyrillic, lambda c: c).items() if len(v) == 1}
     both = []
@@ -261,7 +283,7 @@ def _confusables(checker) -> tuple[dict[int, str], dict[int, str], frozenset[int
     return both[0], both[1], frozenset(sources | set(both[0]) | set(both[1]))
 
 
-_NAME_PARTS = ("LETTER ", "SYLLABLE ", "VOWEL SIGN ", "CONSONANT SIGN ", "INDEPENDENT VOWEL ", "VOWEL ")
+_NAME_PARTS = ("LETTER ", "SYLLABLE ", "SYLLABICS ", "VOWEL SIGN ", "CONSONANT SIGN ", "INDEPENDENT VOWEL ", "VOWEL ")
 
 
 def _by_name(ch: str) -> str | None:
@@ -306,6 +328,24 @@ def _translit(transliterator) -> tuple[dict[int, str], dict[int, str]]:
     default |= _with_lower(CYRILLIC) | _with_lower(GREEK) | _pairs(LATIN) | _pairs(SIGNS)
     for block in range(0x0900, 0x0D80, 0x80):
         default |= {block + 0x15 + k: v for k, v in enumerate(INDIC) if unicodedata.category(chr(block + 0x15 + k)) == "Lo"}
+        default[block + 0x06] = "aa"
+    for c in range(0x1000, 0x10A0):  # by name, where ICU spells the aspirated ones otherwise
+        default[c] = _by_name(chr(c)) or default.get(c, "")
+    for c in range(0x1780, 0x17A3):
+        default[c] = re.sub("o$", "a", re.sub("^c(?=[ao])", "ch", _by_name(chr(c)) or ""))
+    for c in range(0x1200, 0x1380):
+        if unicodedata.category(chr(c)) == "Lo":
+            default[c] = re.match("[^aeiou]*", _by_name(chr(c)) or "")[0].replace("ph", "p") + ETHIOPIC[(c - 0x1200) % 8]
+    for c in range(0x1828, 0x1843):
+        default[c] = default.get(c, "").rstrip("a")
+    for k in range(0x2B):  # the other cases of Georgian
+        if 0x10D0 + k in default:
+            default[0x1C90 + k] = default[0x10D0 + k].capitalize()
+            default[0x2D00 + k] = default[0x10D0 + k] if k < 0x26 else default.get(0x2D00 + k, "")
+    default |= {0x30FB: " ", 0xFF65: " "}
+    for c in range(0x2190, 0x2200):
+        default.pop(c, None)
+    default |= {first + k: v for first, values in OLD_SCRIPTS.items() for k, v in enumerate(values) if v != "-"}
     default |= {first + k: v for first, values in SINHALA.items() for k, v in enumerate(values) if v != "-"} | {0x0D82: "m", 0x0D83: "h"}
     default |= _pairs(SCRIPTS)
     for c in (*range(0x370, 0x400), *range(0x1F00, 0x2000)):

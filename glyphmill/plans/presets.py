@@ -151,6 +151,8 @@ def preset(name: str, tables: Tables, **options):
     name = ALIASES.get(name, name)
     if name not in PRESETS:
         raise ValueError(f"unknown preset {name!r}; there are {', '.join(PRESETS)}")
+    if "emoji" in options:
+        options["emoji_style"] = options.pop("emoji")
     if options.get("emoji_style", "cldr") not in ("cldr", "none"):
         raise ValueError("emoji_style must be cldr or none")
     if "fold_case" in options:

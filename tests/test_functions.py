@@ -106,6 +106,7 @@ def test_confusables(tables):
     assert K.fold_confusables("٥٠", latin) == "50"
     assert K.is_confusable("pаypal", latin) and not K.is_confusable("paypal", latin)
     assert K.fold_confusables("aceop", tables.confusables("cyrillic")) == "асеор"
+    assert [K.fold_confusables(c, latin) for c in ("Ιnstagram", "wa││et", "𝚺", "∑")] == ["Instagram", "wallet", "S", "s"]
     assert not any(chr(c).isascii() and chr(c).isalnum() for c in latin)
     missing = K.unmapped_confusables(tables)
     assert not set(map(ord, missing)) & latin.keys()
