@@ -169,11 +169,12 @@ def emoji_name(ch: str) -> str | None:
     return name.removeprefix("emoji modifier ").replace("heavy ", "").strip() or None
 
 
-def _sequence(s: str, i: int) -> tuple[str, int] | None:
+def _sequence(s: str, i: int, regions: dict[str, str] | None = None) -> tuple[str, int] | None:
     """(name, length) of an emoji sequence at a place: flags, keycaps, skin tones and joined emoji."""
     ch = s[i]
     if "\U0001F1E6" <= ch <= "\U0001F1FF" and i + 1 < len(s) and "\U0001F1E6" <= s[i + 1] <= "\U0001F1FF":
-        return "flag: " + "".join(chr(ord(c) - 0x1F1E6 + 65) for c in s[i : i + 2]), 2
+        code = "".join(chr(ord(c) - 0x1F1E6 + 65) for c in s[i : i + 2])
+        return "flag: " + (regions or {}).get(code, code), 2
     if ch in "0123456789#*":
         m = re.compile("\uFE0F?⃣").match(s, i + 1)
         return (f"keycap: {ch}", 1 + len(m[0])) if m else None
@@ -199,11 +200,11 @@ def _sequence(s: str, i: int) -> tuple[str, int] | None:
     return ", ".join(parts) + (": " + ", ".join(tones) if tones else ""), k - i
 
 
-def demojize(s: str, strip_modifiers: bool = False, errors: str = "ignore", replace_with: str = "[?]", provider=None) -> str:
+def demojize(s: str, strip_modifiers: bool = False, errors: str = "ignore", replace_with: str = "[?]", provider=None, regions: dict[str, str] | None = None) -> str:
     """Emoji become their names, set apart by spaces; unknown ones are dropped, replaced, kept or refused.
 
     ``provider(list of code points)`` may name a sequence itself; what it raises or returns that is
-    no string falls back to the built-in names.
+    no string falls back to the built-in names. ``regions`` names the countries of flags (else: their codes).
     """
     if errors not in ("ignore", "replace", "preserve", "strict"):
         raise InvalidArgumentError(f"unknown errors mode {errors!r}")
@@ -227,7 +228,7 @@ def demojize(s: str, strip_modifiers: bool = False, errors: str = "ignore", repl
         if ch in "\u200D\uFE0E\uFE0F":
             i += 1
             continue
-        if hit := _provided(s, i, provider) or _sequence(s, i):
+        if hit := _provided(s, i, provider) or _sequence(s, i, regions):
             name, n = hit
             if out and not out[-1][-1:].isspace():
                 out.append(" ")

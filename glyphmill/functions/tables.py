@@ -119,7 +119,7 @@ DIGITS_TR39 = {
     0x1D7E3: "l", 0x1D7EC: "O", 0x1D7ED: "l", 0x1D7F6: "O", 0x1D7F7: "l", 0x1FBF0: "O", 0x1FBF1: "l",
 }
 # Composed letters that fold to their base, and letters that fold across scripts.
-LISTED_COMPOSED = frozenset((0x00C7, 0x00E7))
+LISTED_COMPOSED = frozenset((0x00C7, 0x00E7, 0x0407, 0x0457))
 CROSS_SCRIPT = {0x04CF: "l", 0x2502: "l", 0x2211: "s", 0x03A3: "S"}
 #: Digraphs that look like one letter; for host names only.
 CONTRACTIONS = {"rn": "m", "vv": "w", "cl": "d"}
@@ -208,6 +208,7 @@ class Tables:
     languages: dict[str, dict[int, str]] = field(repr=False)
     iso9: dict[int, str] = field(repr=False)
     gost: dict[int, str] = field(repr=False)
+    regions: dict[str, str] = field(repr=False, default_factory=dict)
 
     def confusables(self, target: str = "latin", digits: str = "numeric") -> dict[int, str]:
         if target not in ("latin", "cyrillic"):
@@ -243,12 +244,13 @@ def _confusables(checker) -> tuple[dict[int, str], dict[int, str], frozenset[int
             plain = _marks(s)
             inside = [c for c in members if own(c)]
             if plain and all(own(ord(x)) and (ord(x) < 0x80 or own is _is_cyrillic) for x in plain):
-                value = plain
-            elif inside:
-                value = chr(min(inside, key=prefer))
+                found = lambda c, plain=plain: plain
+            elif inside:  # of the script's letters one of the same case, if there is one
+                found = lambda c, inside=inside: chr(min(inside, key=lambda x: (unicodedata.category(chr(x)) != unicodedata.category(chr(c)), prefer(x))))
             else:
                 continue
             for c in members:
+                value = found(c)
                 if chr(c).isspace() or chr(c) == value or chr(c) in value:
                     continue
                 if own is _is_latin and c > 0x7F and _is_latin(c) and not value.isascii():
@@ -272,7 +274,7 @@ def _confusables(checker) -> tuple[dict[int, str], dict[int, str], frozenset[int
         if c > 0x3A3 and unicodedata.normalize("NFKC", chr(c)) == "Σ":
             latin[c] = "S"
     latin = {c: v for c, v in latin.items() if v.strip()}
-    cyrillic = {c: v for c, v in target(_is_cyrillic, lambda c: c).items() if len(v) == 1}
+    cyrillic = {c: v for c, v in target(_is_cyrillic, lambda c: c).items() if len(v) == 1} | {ord("l"): chr(0x04CF)}
     both = []
     for table in (latin, cyrillic):
         for c in range(0x340, 0x2F000):  # a singleton folds as what it is canonically equal to
@@ -342,7 +344,8 @@ def _translit(transliterator) -> tuple[dict[int, str], dict[int, str]]:
         if 0x10D0 + k in default:
             default[0x1C90 + k] = default[0x10D0 + k].capitalize()
             default[0x2D00 + k] = default[0x10D0 + k] if k < 0x26 else default.get(0x2D00 + k, "")
-    default |= {0x30FB: " ", 0xFF65: " "}
+    default |= {0x30FB: " ", 0xFF65: " "} | dict(zip(range(0x103B, 0x103F), "yrwh", strict=True))
+    default |= {c: "" for c in range(0xA0, 0x10000) if unicodedata.category(chr(c)) == "Cf"}
     for c in range(0x2190, 0x2200):
         default.pop(c, None)
     default |= {first + k: v for first, values in OLD_SCRIPTS.items() for k, v in enumerate(values) if v != "-"}
@@ -367,5 +370,7 @@ def load(spark: SparkSession) -> Tables:
         latin, cyrillic, upstream = _confusables(text.SpoofChecker.Builder().build())
         default, toned = _translit(text.Transliterator)
         languages = {k: _pairs(v) for k, v in LANGUAGES.items()}
-        _loaded["tables"] = Tables(latin, cyrillic, upstream, default, toned, languages, _pairs(ISO9), _pairs(GOST7034))
+        locale = spark.sparkContext._jvm.java.util.Locale
+        regions = {code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()}
+        _loaded["tables"] = Tables(latin, cyrillic, upstream, default, toned, languages, _pairs(ISO9), _pairs(GOST7034), regions)
     return _loaded["tables"]

@@ -238,10 +238,11 @@ def sanitize_filename(tables: Tables, separator: str = "_", max_length: int = 25
     return lambda s: K.sanitize_filename(s, romanizer, separator, max_length, platform, preserve_extension), TEXT
 
 
-def demojize(c, strip_modifiers: bool = False, errors: str = "ignore", replace_with: str = "[?]", provider=None) -> Column:
+@_takes_tables
+def demojize(tables: Tables, strip_modifiers: bool = False, errors: str = "ignore", replace_with: str = "[?]", provider=None):
     K.demojize("é", strip_modifiers, errors, replace_with)  # checks the options
-    provider = provider or registry.emoji_provider()
-    return vectorised(lambda s: K.demojize(s, strip_modifiers, errors, replace_with, provider), TEXT)(c)
+    provider, regions = provider or registry.emoji_provider(), tables.regions
+    return lambda s: K.demojize(s, strip_modifiers, errors, replace_with, provider, regions), TEXT
 
 
 def inspect_anomalies(c, lexicon: security.Lexicon | None = None) -> Column:
@@ -285,7 +286,7 @@ def register(spark: SparkSession) -> list[str]:
     kernels = {
         "transliterate": (Romanizer(tables), TEXT), "unidecode": (Romanizer(tables, None, "ignore"), TEXT), "normalize_confusables": (lambda s: K.fold_confusables(s, tables.latin), TEXT),
         "is_confusable": (lambda s: K.is_confusable(s, tables.latin), FLAG), "slugify": (_slugger(tables), TEXT), "sanitize_filename": (lambda s: K.sanitize_filename(s, Romanizer(tables, None, "ignore", "")), TEXT),
-        "demojize": (K.demojize, TEXT), "terminal_width": (K.terminal_width, COUNT), "graphemes": (K.graphemes, STRINGS), "detect_scripts": (K.detect_scripts, STRINGS),
+        "demojize": (lambda s: K.demojize(s, regions=tables.regions), TEXT), "terminal_width": (K.terminal_width, COUNT), "graphemes": (K.graphemes, STRINGS), "detect_scripts": (K.detect_scripts, STRINGS),
         "has_bidi_conflict": (K.has_bidi_conflict, FLAG), "strip_accents": (K.strip_accents, TEXT), "strip_zalgo": (K.strip_zalgo, TEXT), "is_zalgo": (K.is_zalgo, FLAG),
         "collapse_whitespace": (K.collapse_whitespace, TEXT), "strip_bidi": (K.strip_bidi, TEXT), "inspect_auto_lang": (inspect_auto_lang, AUTO_LANG),
         "analyze_hostname": (lambda s: security.analyze_hostname(s, tables), HOSTNAME), "inspect_anomalies": (lambda s: security.inspect_anomalies(s, security.Lexicon()), ANOMALIES),

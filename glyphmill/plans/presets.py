@@ -111,7 +111,7 @@ class Runner:
                     s = new
                 return s
             case "demojize":
-                return K.demojize(s) if parameter is None or self.emoji_style == "cldr" else s
+                return K.demojize(s, regions=self.tables.regions) if parameter is None or self.emoji_style == "cldr" else s
             case "transliterate":
                 return self._romanize(parameter)(s)
             case "transliterate_if_lang":

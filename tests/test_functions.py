@@ -106,6 +106,7 @@ def test_confusables(tables):
     assert K.fold_confusables("٥٠", latin) == "50"
     assert K.is_confusable("pаypal", latin) and not K.is_confusable("paypal", latin)
     assert K.fold_confusables("aceop", tables.confusables("cyrillic")) == "асеор"
+    assert K.fold_confusables("paypal", tables.confusables("cyrillic")) == "раураӏ" and K.fold_confusables("ї", latin) == "i"
     assert [K.fold_confusables(c, latin) for c in ("Ιnstagram", "wa││et", "𝚺", "∑")] == ["Instagram", "wallet", "S", "s"]
     assert not any(chr(c).isascii() and chr(c).isalnum() for c in latin)
     missing = K.unmapped_confusables(tables)
@@ -194,7 +195,8 @@ def test_demojize(text, expected):
     assert K.demojize(text) == expected
 
 
-def test_demojize_options():
+def test_demojize_options(tables):
+    assert K.demojize("🇫🇷🇺🇸", regions=tables.regions) == "flag: France flag: United States"
     assert K.demojize("👍🏽", strip_modifiers=True) == "thumbs up"
     assert K.demojize("x\U0001FC00y") == "xy"
     assert K.demojize("x\U0001FC00y", errors="replace") == "x[?]y"
