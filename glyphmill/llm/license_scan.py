@@ -1,6 +1,6 @@
 """Licences in texts, by the Dice coefficient over word bigrams; DataFrame operations only.
 
-A unit (a line of a text, or the whole text) and a template are normalised alike: lower case, runs
+A unit (a line of a text, a paragraph, or the whole text) and a template are normalised alike: lower case, runs
 of anything but letters and digits are one space. With A and B their sets of word bigrams, Dice is
 2 |A and B| / (|A| + |B|). As |A and B| is at most the smaller size, a coefficient of t or more needs
 t / (2 - t) <= |A| / |B| <= (2 - t) / t: templates outside these bounds are not compared.
@@ -56,8 +56,8 @@ def matches(unit: Column, templates: Column, low: int, high: int, threshold: flo
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, F.lit(2)), " ")))
         return _let(grams, lambda g: F.when((F.size(g) >= low) & (F.size(g) <= high), compare(g)).otherwise(none))
 
-    # A set of bigrams has no more members than the unit has words, less one.
-    return _let(words, lambda w: F.when(F.size(w) > low, pairs(w)).otherwise(none))
+    # A set of bigrams has no more members than the unit has words, less one, and no fewer than it has different words, less one.
+    return _let(words, lambda w: F.when((F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1), pairs(w)).otherwise(none))
 
 
 def normalised(text: Column) -> Column:
@@ -66,11 +66,13 @@ def normalised(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """Every document with the licences that its lines or its whole text match.
+    """Every document with the licences that its lines, its paragraphs or its whole text match.
 
-    Adds ``licenses``, sorted distinct SPDX identifiers; ``license_spans``, one struct {line,
-    license, form, dice} per matching unit with its best template (line from 1; 0: the whole text);
-    ``license_dice``, the best coefficient (0: no match). Columns of these names are replaced;
+    Adds ``licenses``, sorted distinct SPDX identifiers; ``license_spans``, one struct {unit, number,
+    license, form, dice} per matching unit with its best template (unit: line, paragraph or text;
+    numbers from 1); ``license_dice``, the best coefficient (0: no match). Paragraphs are parted by
+    blank lines, so a grant that is wrapped over lines matches as one. A text of one paragraph or
+    one line is not compared again as such. Columns of these names are replaced;
     ``carry`` names the columns to keep (default: all). Ties between templates go to the one that
     stands first.
 
@@ -87,13 +89,20 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, thresh
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
 
-    def best(unit: Column, line: Column) -> Column:
-        return _let(matches(normalised(unit), table, low, high, threshold), lambda m: F.when(F.size(m) > 0, F.struct(line.cast("int").alias("line"), m[0]["license"].alias("license"), m[0]["form"].alias("form"), m[0]["dice"].alias("dice"))))
-
-    # The whole text is another unit only if it has more than one line.
-    by_line = _let(lines, lambda x: F.concat(F.transform(x, lambda u, i: best(u, i + 1)), F.when(F.size(x) > 1, F.array(best(text, F.lit(0)))).otherwise(F.expr("cast(array() as array<struct<line:int,license:string,form:string,dice:double>>)"))))
+    def best(kind: str, unit: Column, number: Column) -> Column:
+        span = lambda m: F.struct(F.lit(kind).alias("unit"), number.cast("int").alias("number"), m[0]["license"].alias("license"), m[0]["form"].alias("form"), m[0]["dice"].alias("dice"))
+        return _let(matches(normalised(unit), table, low, high, threshold), lambda m: F.when(F.size(m) > 0, span(m)))
+
+    nothing = F.expr("cast(array() as array<struct<unit:string,number:int,license:string,form:string,dice:double>>)")
+    several = lambda units, each: _let(units, lambda x: F.when(F.size(x) > 1, F.transform(x, each)).otherwise(nothing))
+    paragraphs = F.split(text, r"\n[\x20\x09-\x0D]*\n")
+    by_line = F.concat(
+        F.transform(lines, lambda u, i: best("line", u, i + 1)),
+        several(paragraphs, lambda u, i: best("paragraph", u, i + 1)),
+        F.when(F.contains(text, F.lit("\n")), F.array(best("text", text, F.lit(1)))).otherwise(nothing),
+    )
     found = F.array_compact(by_line)
-    (spans,) = [c for c in ("license_spans",)]
+    spans = "license_spans"
     out = docs.select(*[F.col(f"`{c}`") for c in keep], found.alias(spans))
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
