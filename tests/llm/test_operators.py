@@ -101,10 +101,11 @@ def test_mixing_follows_its_schedule(spark):
 
 def test_licenses(spark):
     mit = " ".join(t for name, form, t in license_scan.TEMPLATES if name == "MIT" and form == "grant" and t.startswith("Permission"))
-    rows = [(0, "Some words here.\nReleased under the MIT License.\nMore."), (1, "released, under THE mit license"), (2, mit.replace("free of charge", "free of any charge")), (3, "Licensed under CC BY-NC 4.0."), (4, "No licence at all in this line."), (5, None), (6, "")]
+    rows = [(0, "Some words here.\nReleased under the MIT License.\nMore."), (1, "released, under THE mit license"), (2, mit.replace("free of charge", "free of any charge")), (3, "Licensed under CC BY-NC 4.0."), (4, "No licence at all in this line."), (5, None), (6, ""), (7, "Some text.\n \n" + "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60)).replace(" \n", "\n ") + "\n\nMore text.")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {k: r["licenses"] for k, r in got.items()} == {0: ["MIT"], 1: ["MIT"], 2: ["MIT"], 3: ["CC-BY-NC-4.0"], 4: [], 5: [], 6: []}
-    assert got[0]["license_spans"][0]["line"] == 2 and got[1]["license_dice"] == 1.0 and 0.8 <= got[2]["license_dice"] < 1
+    assert {k: r["licenses"] for k, r in got.items()} == {0: ["MIT"], 1: ["MIT"], 2: ["MIT"], 3: ["CC-BY-NC-4.0"], 4: [], 5: [], 6: [], 7: ["MIT"]}
+    assert "paragraph" in {x["unit"] for x in got[7]["license_spans"]} and "line" not in {x["unit"] for x in got[7]["license_spans"]}
+    assert got[0]["license_spans"][0][:3] == ("line", 2, "MIT") and got[1]["license_dice"] == 1.0 and 0.8 <= got[2]["license_dice"] < 1
 
 
 def test_license_dice_equals_brute_force(spark):
@@ -119,7 +120,8 @@ def test_license_dice_equals_brute_force(spark):
     for r in rows:
         best, names = 0.0, set()
         units = r["text"].split("\n")
-        for unit in [*units, r["text"]] if len(units) > 1 else units:
+        paragraphs = re.split(r"\n[\x20\x09-\x0D]*\n", r["text"])
+        for unit in units + (paragraphs if len(paragraphs) > 1 else []) + ([r["text"]] if len(units) > 1 else []):
             g = grams(unit)
             dice, k = max((2 * len(g & t) / (len(g) + len(t)), -k) for k, (_, t) in enumerate(templates))
             if dice >= license_scan.THRESHOLD:
@@ -434,3 +436,16 @@ def test_long_chain_settles(spark):
 def test_keep_one(spark):
     rows = [(5, "a b c d"), (3, "A B C D"), (9, "quite another text than that"), (None, "third text of its own kind"), (7, ""), (8, None)]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(False, 3), (False, 7), (False, 9), (True, 0)]
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="sitefooter"><p>All of this site is ours and that will not change soon.</p></div>', '<div id="commentsList"><p>What a fine article this is, I read it twice today.</p></div>', '<section role="complementary"><p>Read our other stories of the week, they are fine too.</p></section>',
+    '<div class="alert alert-info"><p>This site will be down for work on Sunday morning.</p></div>', '<div aria-hidden="true"><p>Not shown to anyone at all, ever.</p></div>', '<div style="display: none"><p>Nor is this one shown to anyone.</p></div>',
+    '<select><option>One<option>Two</select>', '<noscript><p>Please enable scripts to read this page.</p></noscript>', '<textarea>Type your comment</textarea>', '<div class="newsletter-signup"><p>Get our letter every week, free of charge.</p></div>',
+    '<ul class="breadcrumbs"><li><a href="/">Home</a><li><a href="/a">Section</a></ul>', '<div class="ads"><p>Buy two and get one of them for free today.</p></div>', '<dialog open><p>Log in to go on reading this article.</p></dialog>',
+])
+@pytest.mark.parametrize("inside", [True, False])
+def test_html_parts_that_go(part, inside):
+    text = "<h1>Title of it</h1><p>The first paragraph of the article says a few things.</p>{}<p>And the second paragraph says some more of them.</p>"
+    page = f'<body class="with-sidebar"><div class="wrapper no-sidebar"><article>{text.format(part if inside else "")}</article>{"" if inside else part}</div></body>'
+    assert html_extract.main_text(page) == "Title of it\nThe first paragraph of the article says a few things.\nAnd the second paragraph says some more of them."
