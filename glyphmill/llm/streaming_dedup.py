@@ -22,7 +22,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     # One bound for all stores of an executor, not one for each.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # Else each store reserves megabytes on disk before it holds a row.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -141,8 +141,23 @@ def dedup_files(
     return out.unionByName(verdict(checked.filter("same"), F.col("keep.id"), size, F.col("at_ref"), F.col("hex")))
 
 
+def _own_files(docs: DataFrame) -> str | None:
+    """The path of a DataFrame that is nothing but a scan of one folder or file of Parquet, else null."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet" or relation.partitionSchema().length():
+        return None
+    roots = relation.location().rootPaths()
+    return roots.head().toString() if roots.size() == 1 else None
+
+
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """``dedup_files`` for any DataFrame: its rows are first landed as Parquet in the shared folder."""
-    landed = scratch(docs.sparkSession, "landed")
-    docs.write.parquet(landed)
-    return dedup_files(docs.sparkSession, landed, **options)
+    """``dedup_files`` for any DataFrame: a plain scan of Parquet is streamed from its own files, other rows are first
+    landed as Parquet in the shared folder."""
+    path = _own_files(docs)
+    if path is None:
+        path = scratch(docs.sparkSession, "landed")
+        docs.write.parquet(path)
+    return dedup_files(docs.sparkSession, path, **options)

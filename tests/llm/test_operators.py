@@ -240,6 +240,16 @@ def test_collisions_are_told_apart(spark):
             assert r["kept"] == (r["doc_id"] == r["keep_id"])
 
 
+def test_plain_scans_are_not_landed(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/d")
+    plain = spark.read.parquet(f"file://{tmp_path}/d")
+    assert streaming_dedup._own_files(plain) == f"file:{tmp_path}/d"
+    for other in (plain.filter("doc_id > 1"), plain.select("doc_id", "text"), plain.union(plain), spark.createDataFrame([(1, "a")], "doc_id long, text string")):
+        assert streaming_dedup._own_files(other) is None
+    assert sorted((r["doc_id"], r["kept"]) for r in streaming_dedup.dedup(plain).collect()) == [(1, True), (2, False), (3, True)]
+    assert sorted((r["doc_id"], r["kept"]) for r in streaming_dedup.dedup(plain.filter("doc_id > 1")).collect()) == [(2, True), (3, True)]
+
+
 def test_state_lasts_over_batches(spark, tmp_path):
     """New files are read with the state of the old ones; the old files are not read again."""
     where, state = f"file://{tmp_path}/in", f"file://{tmp_path}/state"
