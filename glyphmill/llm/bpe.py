@@ -21,12 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: The split pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A partition's table of pieces is emptied when it holds so many; it only saves work.
-MAX_PIECES = 200_000
+MAX_PIECES = 150_000
 #: Characters of text that are encoded together.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def vocabulary_path() -> str:
@@ -79,23 +81,23 @@ class Bpe:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it has none."""
-        pair = left << 20 | right
+        pair = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.by_pair[at], -1)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces one after another, and the number of each piece's."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
         n = len(symbols)
-        owner = np.repeat(np.arange(len(pieces)), lengths)
-        after = np.arange(1, n + 2)  # position n ends every chain
-        before = np.arange(-1, n)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        after = np.arange(1, n + 2, dtype=np.int32)  # position n ends every chain
+        before = np.arange(-1, n, dtype=np.int32)
         if n:
             edge = np.flatnonzero(owner[1:] != owner[:-1])
             after[edge], before[edge + 1] = n, -1
             after[n - 1] = n
-        symbols = np.append(symbols, -1)
+        symbols = np.append(symbols, np.int32(-1))
         alive = np.ones(n + 1, bool)
         alive[n] = False
 
@@ -171,7 +173,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index = _Index()
-        self.ids, self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
         known = len(self.count)
@@ -192,8 +194,8 @@ class Encoder:
         for text in texts:
             parts = []
             for part, added in self.bpe.split(text or "") if self.added else [(text, None)] if text else []:
-                parts.append(np.fromiter(map(number, find(part)), np.int64) if added is None else np.array([-1 - added], np.int64))
-            rows.append(np.concatenate(parts) if len(parts) != 1 else parts[0]) if parts else rows.append(np.zeros(0, np.int64))
+                parts.append(np.fromiter(map(number, find(part)), np.int32) if added is None else np.array([-1 - added], np.int32))
+            rows.append(np.concatenate(parts) if len(parts) != 1 else parts[0]) if parts else rows.append(np.zeros(0, np.int32))
         self._learn()
         return [self._gather(row) for row in rows]
 
@@ -207,7 +209,7 @@ class Encoder:
             return self.ids[np.repeat(self.begin[row] - ends + count, count) + np.arange(total)]
         out, at = [], 0
         for k in np.flatnonzero(row < 0).tolist():
-            out += [self._gather(row[at:k]), np.array([-1 - row[k]], np.int64)]
+            out += [self._gather(row[at:k]), np.array([-1 - row[k]], np.int32)]
             at = k + 1
         return np.concatenate([*out, self._gather(row[at:])])
 
@@ -277,5 +279,6 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
                 part = batch.slice(begin, len(texts))
                 begin += len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(needed.index(c)) for c in keep] + columns, names=[*keep, *own])
+            release_memory()
 
     return rows.mapInArrow(run, schema)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import release_memory
 
 #: Tokens in a block, and the size in bytes from which a file is read by ranges and not as a whole.
 BLOCK_TOKENS = 1 << 19
@@ -38,6 +39,7 @@ def write_flat(docs: DataFrame, target: str, *, text_col: str = "text", path: st
         for batch in batches:
             for texts in bpe.chunks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array([t.astype(KIND[width]).tobytes() for t in encoder.encode_batch(texts)], pa.binary())], names=["ids"])
+            release_memory()
 
     separator = int(end).to_bytes(width, "little").decode("latin-1")
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "ids binary")
