@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import release_memory, short_batches
 
 #: The split pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -281,4 +281,4 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
                 yield pa.RecordBatch.from_arrays([part.column(needed.index(c)) for c in keep] + columns, names=[*keep, *own])
             release_memory()
 
-    return rows.mapInArrow(run, schema)
+    return short_batches(rows).mapInArrow(run, schema)

@@ -102,6 +102,19 @@ def release_memory() -> None:
         trim(0)
 
 
+#: Rows that go to Python at once: whole texts may be long.
+ARROW_ROWS = 2_000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are bounded to ``ARROW_ROWS`` rows where they are longer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def barrier(number: Column) -> Column:
     """A whole number as it is, marked as not deterministic.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, others, release_memory, small
+from .common import cut, fresh, others, release_memory, short_batches, small
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Bits of the six blocks, in pairs: 5 or 6 segments each.
@@ -71,7 +71,7 @@ def with_fingerprint(docs: DataFrame, *, text_col: str = "text", name: str = "fp
             yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + [name])
             release_memory()
 
-    return docs.mapInArrow(run, schema)
+    return short_batches(docs).mapInArrow(run, schema)
 
 
 def unary_counts(fp: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import release_memory
+from .common import release_memory, short_batches
 
 #: Tokens in a block, and the size in bytes from which a file is read by ranges and not as a whole.
 BLOCK_TOKENS = 1 << 19
@@ -42,7 +42,7 @@ def write_flat(docs: DataFrame, target: str, *, text_col: str = "text", path: st
             release_memory()
 
     separator = int(end).to_bytes(width, "little").decode("latin-1")
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "ids binary")
+    rows = short_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "ids binary")
     rows.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(target)
 
 
