@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title head select button".split())
 #: Elements whose content is text without markup until their end tag.
 TEXT_ONLY = frozenset("script style textarea title iframe noscript".split())
+#: Elements that may stand in a head; any other start tag, or text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element of the same set, up to the named container.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"})}
@@ -48,6 +50,9 @@ STATES = frozenset("no has with without is not hide show".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<|[^<]+", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: End tags of elements whose content is text, and what in a script says that "</script>" is part of it ("<!-- <script> ... -->").
+END_TAG = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>])[^>]*>?", re.I | re.A) for name in TEXT_ONLY}
+SCRIPT_PART = re.compile(r"<!--|-->|<(/?)script(?=[ \t\n\f\r/>])(?:(?<=/script)[^>]*>?)?", re.I | re.A)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 GAP = re.compile(r"\s+")
@@ -93,6 +98,25 @@ class Node:
         self.off, self.on, self.skip = off, on, skip
 
 
+def script_end(page: str, start: int) -> int:
+    """Where a script whose content starts at ``start`` ends: after its end tag, but as in HTML not at one after "<!--" and "<script". -1: nowhere."""
+    hidden = inner = False
+    while m := SCRIPT_PART.search(page, start):
+        start = m.end()
+        if m[0] == "<!--":
+            hidden = True
+            start -= 2  # "<!-->" opens and closes
+        elif m[0] == "-->":
+            hidden = inner = False
+        elif not m[1]:
+            inner = hidden
+        elif inner:
+            inner = False
+        else:
+            return start
+    return -1
+
+
 def blocks(page: str) -> list[tuple[str, Node, int, str]]:
     """Text blocks in page order: (text, the element that holds it, characters in links, block element's name).
 
@@ -113,18 +137,14 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
                 out.append((joined, holder, linked, holder.name))
         linked = 0
 
-    raw_until = None
-    for match in TOKEN.finditer(page):
-        token = match[0]
-        if raw_until:
-            if token[:2] == "</" and (m := NAME.match(token)) and m[1].lower() == raw_until:
-                raw_until = None
-                if stack[-1].name == m[1].lower():
-                    stack.pop()
-            continue
+    position, nested = 0, True
+    while match := TOKEN.match(page, position):
+        token, position = match[0], match.end()
         if token[0] != "<" or token == "<" or token[:9] == "<![CDATA[":
             if token[:2] == "<!":
                 token = ""
+            if stack[-1].name == "head" and token.strip(" \t\n\f\r"):
+                stack.pop()
             if not stack[-1].skip and token:
                 text.append(token)
                 if in_link:
@@ -146,6 +166,8 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
             elif name == "a":
                 in_link = max(0, in_link - 1)
             continue
+        if name not in IN_HEAD and stack[-1].name == "head":
+            stack.pop()
         if name == "br":
             if not stack[-1].skip:
                 text.append(" ")
@@ -177,9 +199,16 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
             if token[-2] == "/" and name in ("svg", "math"):
                 continue
             stack[-1].children += 1
-            stack.append(Node(name, stack[-1], attributes))
             if name in TEXT_ONLY:
-                raw_until = name
+                end = END_TAG[name].search(page, position)
+                if end and nested and name == "script" and page.find("<!--", position, end.start()) >= 0:
+                    whole = script_end(page, position)
+                    nested = whole >= 0  # if not, first end tags count from here on
+                    position = whole if nested else end.end()
+                else:
+                    position = end.end() if end else len(page)
+                continue
+            stack.append(Node(name, stack[-1], attributes))
     flush()
     return out
 

@@ -353,6 +353,19 @@ def test_html_survives(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+ARTICLE = "<article><h1>Title of it</h1><p>The first paragraph of the article says a few things.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><script>for(i=0;i<n;i++)go(i);</script></head><body>{}</body></html>", "<head><script>if (a<b && c>d) x('\"');</script><title>a<b</title><style>/* <p */</style></head><body>{}", "<body><script>for(i=0;i<n;i++)go(i);</script>{}<script>i<m</script>",
+    "<head><script><!-- x\ngo();</script></head><body>{}", "<head><script>s = '<!--<script>';</script></head><body>{}", "<head><script><!-- <script>a</script> --></SCRIPT ></head><body>{}", "<head><script><!--><script></script></head><body>{}", "<body><textarea>i<n <!-- </textarea>{}",
+    "<html><head><title>T</title><body>{}</body></html>", "<html><head><meta charset=utf-8><title>T</title><link rel=x><div>{}</div></html>", "<head><title>T</title>{}", "<head><title>T</title><noscript><p>x</p></noscript><script>i<n</script><body>{}",
+])
+def test_html_raw_elements_and_open_heads(page):
+    assert html_extract.main_text(page.format(ARTICLE)) == "Title of it\nThe first paragraph of the article says a few things."
+    assert html_extract.main_text("<head><title>T</title>Some words of <b>text</b> that stand in an open head, and are the page's own words.") == "Some words of text that stand in an open head, and are the page's own words."
+
+
 def test_html_on_the_pages(spark):
     """The pages' own article element, read without its markup."""
     rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
