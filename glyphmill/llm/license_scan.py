@@ -5,11 +5,17 @@ of anything but letters and digits are one space. With A and B their sets of wor
 2 |A and B| / (|A| + |B|). As |A and B| is at most the smaller size, a coefficient of t or more needs
 t / (2 - t) <= |A| / |B| <= (2 - t) / t: templates outside these bounds are not compared.
 
+A licence within a longer line, or in a comment block whose empty lines hold a mark, is no such unit. So runs of words of
+the whole text are units too: from a bigram of the template to another, no longer than the bounds allow. As a match has
+at least t / (2 - t) of the template's bigrams, texts without any of a few fixed ones of each template (``anchors``) hold no
+licence and are not searched.
+
 All is done within a row: no join, no shuffle. Templates are a fixed table of a few kilobytes.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -25,12 +31,38 @@ def _plain_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _templates(templates) -> Column:
-    rows = [(name, form, _plain_bigrams(text)) for name, form, text in templates]
-    return F.array(*(
-        F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.lit(form).alias("form"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams"))
-        for k, (name, form, grams) in enumerate(rows)
-    ))
+def _least(size: int, threshold: float) -> int:
+    """Number of a template's bigrams that a unit must share to reach the threshold."""
+    return max(1, math.ceil(size * threshold / (2 - threshold) - 1e-9))
+
+
+def _templates(templates, threshold: float) -> Column:
+    # As one SQL expression: building hundreds of literals one by one takes seconds.
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = []
+    for k, (name, form, text) in enumerate(templates):
+        grams = _plain_bigrams(text)
+        listed = f"array({', '.join(map(quoted, grams))})" if grams else "cast(array() as array<string>)"
+        least, most = _least(len(grams), threshold), int(len(grams) * (2 - threshold) / threshold)
+        rows.append(f"named_struct('k', {k}, 'license', {quoted(name)}, 'form', {quoted(form)}, 'n', {len(grams)}, 'grams', {listed}, 'least', {least}, 'most', {most})")
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _pattern(grams: list[str], between: str) -> str:
+    """Pattern of any of the bigrams, grouped by first letter, so that most words are passed over after a comparison of few letters."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b in map(str.split, sorted(set(grams))):
+        tree.setdefault(a[0], {}).setdefault(a[1:], []).append(b)
+    return "(?:" + "|".join(f"{x}(?:{'|'.join(f'{a}{between}(?:{"|".join(seconds)})' for a, seconds in rest.items())})" for x, rest in tree.items()) + ")"
+
+
+def anchors(templates, threshold: float) -> str:
+    """Pattern that the lower-case text of any match fits: of each template, one bigram more than a match can lack, those of long words first."""
+    chosen: list[str] = []
+    for _, _, text in templates:
+        grams = sorted(_plain_bigrams(text), key=lambda g: (min(map(len, g.split())), len(g), g), reverse=True)
+        chosen += grams[: len(grams) - _least(len(grams), threshold) + 1]
+    return f"(?<![0-9a-z]){_pattern(chosen, '[^0-9a-z]+')}(?![0-9a-z])"
 
 
 def _let(value: Column, body) -> Column:
@@ -60,17 +92,53 @@ def matches(unit: Column, templates: Column, low: int, high: int, threshold: flo
     return _let(words, lambda w: F.when((F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1), pairs(w)).otherwise(none))
 
 
+def runs(text: Column, templates: Column, grams: list[str], threshold: float) -> Column:
+    """Runs of words of a normalised text that reach the threshold: array of {dice, k, at, end, license, form}, none overlapping a better one.
+
+    ``grams`` are all templates' bigrams. For each start, the end is the one that is best when no bigram repeats
+    within the run; the coefficient is then that of the sets. ``at`` and ``end`` count bigrams from 0.
+    """
+    kind = "array<struct<dice:double,k:int,at:int,end:int,license:string,form:string>>"
+
+    def of_template(t: Column, pairs: Column, hits: Column) -> Column:
+        def scored(h: Column) -> Column:
+            # Hit j and hit j + least - 1 must lie within a run of the greatest length.
+            starts = F.filter(F.transform(h, lambda x, j: F.struct(x["i"].alias("i"), j.alias("j"))), lambda x: F.get(h, x["j"] + t["least"] - 1)["i"] - x["i"] < t["most"])
+
+            def run(x: Column) -> Column:
+                ends = F.transform(F.slice(h, x["j"] + t["least"], t["most"]), lambda y, d: F.struct((2.0 * (d + t["least"]) / (y["i"] - x["i"] + 1 + t["n"])).alias("e"), (-y["i"]).alias("end")))
+                end = -F.array_max(F.filter(ends, lambda y: -y["end"] - x["i"] < t["most"]))["end"]
+                return _let(end, lambda e: _let(F.array_distinct(F.slice(pairs, x["i"] + 1, e - x["i"] + 1)), lambda own: F.struct(
+                    (-2.0 * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + t["n"])).alias("dice"), t["k"], x["i"].alias("at"), e.alias("end"), t["license"], t["form"])))
+
+            return F.filter(F.transform(starts, run), lambda r: r["dice"] <= -threshold)
+
+        return _let(F.filter(hits, lambda x: F.array_contains(t["grams"], x["g"])), scored)
+
+    def found(pairs: Column) -> Column:
+        hits = F.filter(F.transform(pairs, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x["g"].rlike(f"^{_pattern(grams, ' ')}$"))
+        best = F.sort_array(_let(hits, lambda h: F.flatten(F.transform(templates, lambda t: of_template(t, pairs, h)))))
+        return F.aggregate(best, F.expr(f"cast(array() as {kind})"), lambda taken, r: F.when(F.exists(taken, lambda o: (o["at"] <= r["end"]) & (r["at"] <= o["end"])), taken).otherwise(F.concat(taken, F.array(r))))
+
+    words = F.split(text, " ")
+    pairs = lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    return F.transform(
+        _let(words, lambda w: F.when(F.size(w) > 1, _let(pairs(w), found)).otherwise(F.expr(f"cast(array() as {kind})"))),
+        lambda r: F.struct((-r["dice"]).alias("dice"), r["k"], r["at"], r["end"], r["license"], r["form"]),
+    )
+
+
 def normalised(text: Column) -> Column:
     """Lower-case ASCII letters and digits, single spaces between words."""
     return F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z]+", " "))
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """Every document with the licences that its lines, its paragraphs or its whole text match.
+    """Every document with the licences that its lines, its paragraphs, its whole text or runs of its words match.
 
     Adds ``licenses``, sorted distinct SPDX identifiers; ``license_spans``, one struct {unit, number,
-    license, form, dice} per matching unit with its best template (unit: line, paragraph or text;
-    numbers from 1); ``license_dice``, the best coefficient (0: no match). Paragraphs are parted by
+    license, form, dice} per matching unit with its best template (unit: line, paragraph, text or words;
+    numbers from 1, of a run of words that of its first); runs are given for licences that no other unit matches; ``license_dice``, the best coefficient (0: no match). Paragraphs are parted by
     blank lines, so a grant that is wrapped over lines matches as one. A text of one paragraph or
     one line is not compared again as such. Columns of these names are replaced;
     ``carry`` names the columns to keep (default: all). Ties between templates go to the one that
@@ -85,7 +153,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, thresh
     sizes = [len(_plain_bigrams(text)) for _, _, text in templates]
     low = max(1, int(min(sizes) * threshold / (2 - threshold)))
     high = int(max(sizes) * (2 - threshold) / threshold) + 1
-    table = _templates(templates)
+    table = _templates(templates, threshold)
+    grams = sorted({g for _, _, text in templates for g in _plain_bigrams(text)})
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
 
@@ -101,7 +170,13 @@ def scan(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, thresh
         several(paragraphs, lambda u, i: best("paragraph", u, i + 1)),
         F.when(F.contains(text, F.lit("\n")), F.array(best("text", text, F.lit(1)))).otherwise(nothing),
     )
-    found = F.array_compact(by_line)
+    # Units that match hold an anchor, so other texts are not taken apart.
+    def with_runs(units: Column) -> Column:
+        named = F.transform(units, lambda x: x["license"])
+        rest = F.filter(runs(normalised(text), table, grams, threshold), lambda r: ~F.array_contains(named, r["license"]))
+        return F.concat(units, F.transform(rest, lambda r: F.struct(F.lit("words").alias("unit"), (r["at"] + 1).cast("int").alias("number"), r["license"].alias("license"), r["form"].alias("form"), r["dice"].alias("dice"))))
+
+    found = F.when(F.lower(text).rlike(anchors(templates, threshold)), _let(F.array_compact(by_line), with_runs)).otherwise(nothing)
     spans = "license_spans"
     out = docs.select(*[F.col(f"`{c}`") for c in keep], found.alias(spans))
     return out.select(

@@ -130,6 +130,30 @@ def test_license_dice_equals_brute_force(spark):
         assert got[r["doc_id"]]["licenses"] == ",".join(sorted(names)) and got[r["doc_id"]]["license_dice"] == pytest.approx(best)
 
 
+def test_licenses_within_texts(spark):
+    grants = [t for n, f, t in license_scan.TEMPLATES if n == "MIT" and f == "grant"]
+    block = "".join(("# " + "\n# ".join(re.findall(r".{1,70}(?: |$)", t)) + "\n#\n") for t in ["Copyright (c) 2024 Some One", *grants])
+    filler = " ".join(f"word{k} thing{k * 7}" for k in range(300))
+    agpl = next(t for n, f, t in license_scan.TEMPLATES if n == "AGPL-3.0" and f == "grant")
+    texts = {
+        "This project is released under the MIT License.": "MIT", "The code is released under the MIT License, see LICENSE for details.": "MIT", block: "MIT", " ".join(grants): "MIT", f"{filler} {grants[0]} {filler}": "MIT",
+        f"{filler}. Licensed under CC BY-NC 4.0. {filler}\nMore.": "CC-BY-NC-4.0", f"{filler} This work is licensed under the GNU General Public License, version 2. {filler}": "GPL-2.0", f"{filler} {agpl} {filler}": "AGPL-3.0",
+        f"{filler} {grants[0].replace('free of charge', 'free of any charge at all').replace('without limitation', 'with no limitation')} {filler}": "MIT", f"{filler} released under the Licensed under CC BY 4.0. {filler} Released under the MIT License.": "CC-BY-4.0,MIT",
+        filler: "", "We talked about the MIT License and how free software is released under it.": "", "released under the": "",
+    }
+    found = license_scan.scan(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), carry=["doc_id"]).collect()
+    assert {r["doc_id"]: ",".join(r["licenses"]) for r in found} == dict(enumerate(texts.values()))
+    assert next(r for r in found if r["doc_id"] == 4)["license_spans"][0][:3] == ("words", 601, "MIT")
+
+
+def test_license_anchors_miss_nothing():
+    """Whatever fixed share of a template's bigrams a match may lack, an anchor is left."""
+    pattern = re.compile(license_scan.anchors(license_scan.TEMPLATES, license_scan.THRESHOLD))
+    for _, _, text in license_scan.TEMPLATES:
+        grams = license_scan._plain_bigrams(text)
+        assert sum(bool(pattern.search(g)) for g in grams) > len(grams) - license_scan._least(len(grams), license_scan.THRESHOLD)
+
+
 # Tokens
 
 
