@@ -15,11 +15,11 @@ from .common import barrier, cut, fresh, others, small, words
 
 #: Base rules: a document fails with fewer words, or with a larger share (%) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Soft rules: shares (%) of symbols among word characters and of repeated lines, mean word length.
+#: Soft rules: shares (%) of symbols among word characters and of repeated lines among lines with a word, mean word length.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, WORD_LENGTH = 5, 30, (2, 15)
 #: A host whose shrunk failure rate is above the first is watched, above the second blocked.
 WATCH, BLOCK = 0.25, 0.6
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def _let(value: Column, body) -> Column:
@@ -60,7 +60,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the five measures (they replace columns of the same names); null text measures as empty."""
+    """``docs`` with the six measures (they replace columns of the same names); null text measures as empty."""
     (w,) = fresh([*docs.columns, *MEASURES], "words")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
@@ -71,6 +71,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             barrier(F.size(w).cast("long")).alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_lines"),
             _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col(w)).alias("n_repeat_words"),
         )
@@ -85,7 +86,7 @@ def soft_failed() -> Column:
     mean = F.try_divide(F.col("word_chars"), F.col("n_words"))
     return F.coalesce(
         (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"))
-        | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_words"))
+        | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
         | (mean < WORD_LENGTH[0])
         | (mean > WORD_LENGTH[1]),
         F.lit(False),

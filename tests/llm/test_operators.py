@@ -301,6 +301,14 @@ def test_host_rates_are_shrunk(spark):
 
 
 
+def test_repeated_lines_are_a_share_of_lines(spark):
+    """Two of five lines of six words are repeated: 40% of the lines, 7% of the words."""
+    lines = [" ".join(f"{a}{k}" for k in range(6)) for a in ("one", "two", "red")]
+    rows = [(k, "\n".join([*lines, *lines[:n]]), "host") for k, n in enumerate((2, 1, 0))]
+    got = quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("*", quality_rules.base_failed().alias("base"), quality_rules.soft_failed().alias("soft")).collect()
+    assert [(r["n_lines"], r["n_dup_lines"], r["soft"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(5, 2, True), (4, 1, False), (3, 0, False)]
+
+
 def test_repeated_words(spark):
     rng = np.random.default_rng(3)
     lists = [[], ["a"] * 7, ["a"] * 8, ["a"] * 9, [*"abcdefgh", "x", *"abcdefgh"], *(rng.choice(list("ab"), n).tolist() for n in range(5, 60, 3))]
