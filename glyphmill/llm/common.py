@@ -5,8 +5,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,17 +105,18 @@ def release_memory() -> None:
         trim(0)
 
 
-#: Rows that go to Python at once: whole texts may be long.
-ARROW_ROWS = 2_000
+#: Bytes of text that an operator works on at once. Batches that come from the JVM are bounded by its own
+#: spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set; a text longer than either is a batch of its own.
+PIECE_BYTES = 4 << 20
 
 
-def short_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches are bounded to ``ARROW_ROWS`` rows where they are longer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
-        conf.set(key, str(ARROW_ROWS))
-    return df
+def pieces(batch: pa.RecordBatch, at: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of whole rows, of about ``limit`` bytes each in the string column number ``at``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // limit
+    stops = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for begin, stop in zip([0, *stops], stops, strict=False):
+        yield batch.slice(begin, stop - begin)
 
 
 def barrier(number: Column) -> Column:

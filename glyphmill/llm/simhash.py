@@ -4,14 +4,15 @@ A 64-bit fingerprint is cut into 32 segments of two bits, and mapped to its 32 b
 The Manhattan distance of two count vectors is never more than the Hamming distance of the
 fingerprints, so a range join with radius 3 in the embedding misses no link. Its grid: the vector is
 cut into six blocks of five or six segments, and two vectors within distance 3 differ in at most
-three of the blocks, so they share the cell of at least one of the 20 choices of three blocks. A
-pair is taken only in the first choice of blocks that it shares, bounded by its Manhattan distance
-and then verified by its Hamming distance.
+three of the blocks, so they share the cell of at least one of the 20 choices of three blocks.
+Inside a cell a pair is bounded by its Manhattan distance, then verified by its Hamming distance.
 
 Counts are kept in unary (0: 00, 1: 01, 2: 11), so a vector is a 64-bit number too and the Manhattan
-distance of two is the number of bits in which these differ. All of the join is JVM arithmetic.
+distance of two is the number of bits in which these differ.
 
-Copies are one row from the start (distinct fingerprints), so links grow with different texts only.
+Copies are one row from the start (distinct fingerprints). A cell gives edges that span its linked
+members, never all its pairs, so a large group of near copies costs as many edges as it has members.
+Cells too full to be read as one are split by finer grids over the fingerprint's own bits.
 """
 
 from __future__ import annotations
@@ -25,13 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, others, release_memory, short_batches, small
+from .common import cut, fresh, others, pieces, release_memory, small
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Bits of the six blocks, in pairs: 5 or 6 segments each.
 BLOCKS = ((0, 10), (10, 20), (20, 32), (32, 42), (42, 52), (52, 64))
-MASKS = tuple(((1 << hi) - (1 << lo)) for lo, hi in BLOCKS)
-CHOICES = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 
 
 def _signed(x: int) -> int:
@@ -65,13 +64,14 @@ def with_fingerprint(docs: DataFrame, *, text_col: str = "text", name: str = "fp
     schema = docs.select(*[F.col(f"`{docs.columns[i]}`") for i in keep], F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([_signed(fingerprint(t.as_py())) for t in batch.column(at)], pa.int64())
-            columns = [batch.column(i) for i in keep] + [found]
-            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + [name])
+        for whole in batches:
+            for batch in pieces(whole, at):
+                found = pa.array([_signed(fingerprint(t.as_py())) for t in batch.column(at)], pa.int64())
+                columns = [batch.column(i) for i in keep] + [found]
+                yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + [name])
             release_memory()
 
-    return short_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def unary_counts(fp: Column) -> Column:
@@ -81,29 +81,101 @@ def unary_counts(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints in column ``fp`` that differ in ``RADIUS`` bits or fewer."""
-    point = fps.select("fp", unary_counts(F.col("fp")).alias("counts"))
-    cells = F.array(*(
-        F.struct(F.lit(k).alias("k"), F.col("counts").bitwiseAND(F.lit(_signed(sum(MASKS[b] for b in choice)))).alias("cell")) for k, choice in enumerate(CHOICES)
-    ))
-    point = point.select("fp", "counts", F.inline(cells))
-    a, b = point.alias("a"), point.alias("b")
-    apart = F.col("a.counts").bitwiseXOR(F.col("b.counts"))
-    # First choice of three blocks that a pair shares: no earlier block may agree that is not in the choice.
-    first = F.lit(True)
-    for k, choice in enumerate(CHOICES):
-        before = [i for i in range(choice[-1]) if i not in choice]
-        if before:
-            differ = F.lit(True)
-            for i in before:
-                differ = differ & (apart.bitwiseAND(F.lit(_signed(MASKS[i]))) != 0)
-            first = first & ((F.col("a.k") != k) | differ)
-    return a.join(
-        b,
-        (F.col("a.k") == F.col("b.k")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-        & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS) & (F.bit_count(apart) <= RADIUS) & first,
-    ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+def _masks(blocks: tuple[tuple[int, int], ...]) -> list[int]:
+    """For every choice of all but ``RADIUS`` blocks, its bits: two numbers that differ in ``RADIUS`` bits agree on one of these masks."""
+    every = (1 << 64) - 1
+    return [every ^ sum((1 << hi) - (1 << lo) for lo, hi in free) for free in combinations(blocks, RADIUS)]
+
+
+def _even(n: int) -> tuple[tuple[int, int], ...]:
+    """``n`` blocks of about as many bits."""
+    return tuple((64 * k // n, 64 * (k + 1) // n) for k in range(n))
+
+
+#: The grids, coarse to fine: over the bit counts first; members of cells that are too full meet in finer ones, over the fingerprint's own
+#: bits. In the last at most 9 bits are free, so a cell has at most 512 fingerprints.
+GRIDS = (("counts", _masks(BLOCKS)), ("fp", _masks(_even(6))), ("fp", _masks(_even(12))), ("fp", _masks(_even(24))))
+#: A cell of more fingerprints is not read as one, but left to the next grid. At least 512.
+MOST = 4096
+
+
+def cell_stars(members: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the linked fingerprints of one cell: (least of a component, any other of it), at most members - 1.
+
+    A fingerprint taken up asks those not yet reached: first the Manhattan distance of the counts, then the Hamming distance.
+    """
+    fps = np.sort(members.view(np.uint64))
+    odd = np.uint64(0x5555555555555555)
+    low, high = fps & odd, fps >> np.uint64(1) & odd
+    counts = low | high | (low & high) << np.uint64(1)
+    left, out = np.arange(len(fps)), []
+    while len(left):
+        least, front = left[0], [left[0]]
+        left = left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = np.bitwise_count(counts[left] ^ counts[at]) <= RADIUS
+            near[near] = np.bitwise_count(fps[left[near]] ^ fps[at]) <= RADIUS
+            if near.any():
+                reached = left[near]
+                front += reached.tolist()
+                out += [(int(fps[least].view(np.int64)), x) for x in fps[reached].view(np.int64).tolist()]
+                left = left[~near]
+    return out
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = batch.column(0)
+        flat, ends = members.values.to_numpy(), members.offsets.to_numpy()
+        found = {e for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) for e in cell_stars(flat[a:b])}
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def spanning_links(fps: DataFrame, *, most: int = MOST) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints in column ``fp``; two of them are joined by edges just if they are by links.
+
+    A link is a pair that differs in ``RADIUS`` bits or fewer. Each cell gives a star for every component inside it,
+    not its links, so edges grow with the fingerprints, whatever their groups. A cell of two is settled by its least and
+    greatest member; one of up to ``most`` is gathered; the members of fuller ones go on to the next grid, where all
+    links between them are found again.
+    """
+    if most < 512:
+        raise ValueError("most: at least 512, what a cell of the last grid can hold")
+    none = fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    edges, level = none, fps.select("fp")
+    for base, masks in GRIDS:
+        point = level.select("fp", (unary_counts(F.col("fp")) if base == "counts" else F.col("fp")).alias("base"), F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
+        point = point.select("fp", "mask", F.col("base").bitwiseAND(F.col("mask")).alias("cell"))
+        cells = cut(point.groupBy("mask", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+        apart = unary_counts(F.col("a")).bitwiseXOR(unary_counts(F.col("b")))
+        pairs = cells.filter("n = 2").filter(F.bit_count(apart) <= RADIUS).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
+        gathered = point.join(small(cells.filter(f"n between 3 and {most}").select("mask", "cell")), ["mask", "cell"]).groupBy("mask", "cell").agg(F.collect_list("fp").alias("members"))
+        edges = edges.union(pairs).union(gathered.select("members").mapInArrow(_stars, "a long, b long"))
+        full = cells.filter(f"n > {most}").select("mask", "cell")
+        if full.isEmpty():
+            break
+        level = cut(point.join(small(full), ["mask", "cell"]).select("fp").distinct())
+    return edges.distinct()
+
+
+#: A key that more than this share of all rows hold is looked up by broadcast; so at most as many keys are.
+HOT_SHARE = 1 / 1000
+
+
+def look_up(rows: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
+    """``rows`` joined with the only row of ``table`` that has their ``key``; rows without one are left out.
+
+    Rows of hot keys stay where they are and meet the at most 1,000 or so table rows of these keys by broadcast; the others are shuffled.
+    """
+    bound = max(100, int(rows.count() * HOT_SHARE))
+    values = [c for c in table.columns if c != table_key]
+    counted = rows.groupBy(key).count().filter(F.col("count") > bound).select(F.col(key).alias(table_key))
+    held = table.join(F.broadcast(counted), table_key, "left_semi")
+    (there,) = fresh([*rows.columns, *table.columns], "there")
+    tagged = rows.join(F.broadcast(held.withColumn(there, F.lit(True))), F.col(key) == F.col(table_key), "left").drop(table_key)
+    rest = tagged.filter(F.col(there).isNull()).select(*rows.columns).join(table, F.col(key) == F.col(table_key)).select(*rows.columns, *values)
+    return tagged.filter(there).select(*rows.columns, *values).unionByName(rest)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -115,14 +187,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
     for _ in range(max_rounds):
-        offered = both.join(label.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
+        offered = cut(look_up(both, "b", label, "node").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root")))
         # What a node is offered goes to its present root too (hooking), so that long chains close in few rounds.
-        mine = label.select("node", F.col("root").alias("old"))
-        hooked = offered.groupBy("node").agg(F.min("root").alias("root")).join(mine, "node").select(F.col("old").alias("node"), "root")
-        best = label.unionByName(offered).unionByName(hooked).groupBy("node").agg(F.min("root").alias("root"))
-        best = cut(best)
-        jump = best.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = cut(best.join(jump, "root").select("node", "further").withColumnRenamed("further", "root"))
+        hooked = offered.join(label.withColumnRenamed("root", "old"), "node").select(F.col("old").alias("node"), "root")
+        best = cut(label.unionByName(offered).unionByName(hooked).groupBy("node").agg(F.min("root").alias("root")))
+        new = cut(look_up(best, "root", best.select(F.col("node").alias("at"), F.col("root").alias("further")), "at").select("node", F.col("further").alias("root")))
         changed = new.join(label.withColumnRenamed("root", "old"), "node").filter("root != old")
         if changed.isEmpty():
             return new
@@ -131,24 +200,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id``, ``n_links``.
+    """One row per document: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id``.
 
     Fingerprints link at ``RADIUS`` or fewer differing bits, equal ones always; ``component_id`` is the least id reachable,
-    itself included, ``n_links`` the number of other fingerprints that its own links to.
+    itself included.
 
     Null or empty text: fingerprint zero, linked like any other. Null ids come last: a component has a null id only if
     all its documents have. Repeated rows are separate documents of one component. Empty table: no rows.
     """
     narrow = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "fp"))
     classes = cut(narrow.groupBy("fp").agg(F.min("id").alias("least")))
-    found = cut(links(classes))
-    root = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = classes.join(root.join(degree, "node").withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    root = components(cut(spanning_links(classes)))
+    placed = cut(classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "root").select("fp", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    placed = look_up(placed.select("fp", "root"), "root", least.withColumnRenamed("root", "top"), "top").select(F.col("fp").alias("at"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return narrow.join(placed, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id", "n_links")
+    return look_up(narrow, "fp", cut(placed), "at").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

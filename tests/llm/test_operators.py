@@ -442,13 +442,13 @@ def brute_components(fps):
 
     def find(x):
         while root[x] != x:
-            x = root[x]
+            root[x] = x = root[root[x]]
         return x
 
+    all_fps = np.array(distinct, np.uint64)
     for i, a in enumerate(distinct):
-        for b in distinct[i + 1 :]:
-            if (a ^ b).bit_count() <= 3:
-                root[find(a)] = find(b)
+        for j in np.flatnonzero(np.bitwise_count(all_fps[i + 1 :] ^ all_fps[i]) <= 3).tolist():
+            root[find(a)] = find(distinct[i + 1 + j])
     least = {}
     for d, f in fps:
         least[find(f)] = min(least.get(find(f), d), d)
@@ -463,24 +463,77 @@ def test_simhash_query_equals_brute_force(spark):
     assert got == {d: (f"{f:016x}", expected[d]) for d, f in fps}
 
 
+def roots_of(spark, fps, **options):
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    found = simhash.spanning_links(df, **options).cache()
+    edges = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in found.collect()]
+    return edges, {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash.components(found).collect()}
+
+
+def brute_classes(fps):
+    least = brute_components([(f, f) for f in fps])
+    return {frozenset(f for f in fps if least[f] == c) for c in set(least.values())}
+
+
+def classes(fps, roots):
+    out = defaultdict(set)
+    for f in fps:
+        out[roots.get(f, f)].add(f)
+    return set(map(frozenset, out.values()))
+
+
+def walk(rng, f, steps):
+    for _ in range(steps):
+        for b in rng.choice(64, rng.integers(1, 4), replace=False):
+            f ^= 1 << int(b)
+        yield f
+
+
 def test_links_lose_none(spark):
-    """Clusters around random centres, chains and hubs: all links of three bits or fewer, each once."""
+    """Clusters around random centres, chains and hubs: the edges join what links of three bits or fewer join."""
     rng = np.random.default_rng(7)
     fps = {0, (1 << 64) - 1}
     for _ in range(40):
         f = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
-        for _ in range(25):
-            fps.add(f)
-            for b in rng.choice(64, rng.integers(1, 4), replace=False):
-                f ^= 1 << int(b)
-    fps = sorted(fps)
-    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    got = Counter((r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df).collect())
-    expected = {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3}
-    assert {frozenset(p) for p in got} == expected and set(got.values()) == {1}
-    edges = simhash.links(df)
-    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    assert len(set(roots.values())) == len(set(brute_components([(f, f) for f in fps]).values())) - (len(fps) - len(roots))
+        fps |= {f, *walk(rng, f, 25)}
+    hub = int(rng.integers(0, 1 << 63))
+    fps |= {hub ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(300)}
+    edges, roots = roots_of(spark, sorted(fps))
+    assert classes(fps, roots) == brute_classes(sorted(fps))
+    assert len(edges) <= 20 * len(fps)
+
+
+def test_full_cells_go_on_to_finer_grids(spark):
+    """A ball so dense that its cells are too full in three grids, beside islands of it that only links of the last grid join."""
+    rng = np.random.default_rng(11)
+    centre = 0x0123456789ABCDEF
+    fps = {centre ^ sum(1 << int(b) for b in rng.choice(13, k, replace=False)) for k in range(14) for _ in range(300)}
+    fps |= {centre ^ 0xFF << 40 ^ x for x in range(600)} | {centre ^ 0xFFFF << 44}
+    _, roots = roots_of(spark, sorted(fps), most=512)
+    assert classes(fps, roots) == brute_classes(sorted(fps))
+    with pytest.raises(ValueError):
+        simhash.spanning_links(spark.range(1).toDF("fp"), most=100)
+
+
+def test_a_large_near_group_is_spanned(spark):
+    """10,000 near copies: edges grow with the members, and all are one component."""
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 1 << 63))
+    fps = {centre}
+    while len(fps) < 10_000:
+        fps.add(centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 4)), replace=False)))
+    edges, roots = roots_of(spark, sorted(fps))
+    assert len(edges) <= 20 * len(fps) and set(roots) == fps and len(set(roots.values())) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(seed=st.integers(0, 1 << 30), n=st.integers(1, 60), bits=st.integers(3, 14))
+def test_cell_stars_span_the_links(seed, n, bits):
+    rng = np.random.default_rng(seed)
+    fps = sorted({sum(1 << int(b) for b in rng.choice(64, 2)) ^ int(rng.integers(0, 1 << bits)) for _ in range(n)})
+    edges = simhash.cell_stars(np.array(fps, np.uint64).view(np.int64))
+    roots = {b % (1 << 64): a % (1 << 64) for a, b in edges}
+    assert len(edges) < len(fps) and len(roots) == len(edges) and classes(fps, roots) == brute_classes(fps)
 
 
 def test_long_chain_settles(spark):
