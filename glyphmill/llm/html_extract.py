@@ -5,6 +5,9 @@ around it gives the cost of calling it boilerplate or content; these are the cap
 from the source and to the sink. Edges between neighbours in page order, weaker with their distance
 in the DOM tree, and between consecutive children of one element make it dear to part blocks that
 belong together. The blocks that a minimum cut leaves with the source are the main text.
+
+A class name that only hints at a page part (``legal-analysis``, ``share-wrap``) is a node of its own: bounded
+capacity to the sink for the whole element, and an edge to each of its blocks. Text enough inside outvotes it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 # Element names of HTML by their role.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header "
@@ -45,8 +50,15 @@ OFF_WORDS = frozenset(
 ON_ELEMENTS = frozenset("article main".split())
 ON_WORDS = frozenset("article content post entry story main body text".split())
 
-#: First parts of class names that tell what a page has, not what an element is.
+#: Of these, words that only hint at a page part where they stand among other words in a name; alone they name one.
+HINTS = frozenset(
+    "alert banner copyright disclaimer discussion foot head hidden legal login modal notice notices notification overlay pager popular popup promo promotion "
+    "reply replies respond search share sharing social trending widget widgets".split()
+)
+#: Parts of class names that tell what an element or a page has, not what it is: what follows them is not read.
 STATES = frozenset("no has with without is not hide show".split())
+#: Part that is a matter of layout where it follows another: overflow-hidden.
+LAYOUT = frozenset({"hidden"})
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<|[^<]+", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -59,34 +71,42 @@ GAP = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=20_000)
-def named_parts(value: str) -> tuple[frozenset[str], frozenset[str]]:
-    """Words in a class, id or role that mark page parts: (off, on)."""
-    off, on = set(), set()
+def named_parts(value: str) -> tuple[frozenset[str], frozenset[str], bool]:
+    """Words in a class, id or role that mark page parts, (off, on), and whether a name hints at a part that goes."""
+    off, on, hint = set(), set(), False
     for name in value.split():
         parts = [w.lower() for w in PART.findall(name)]
-        if not parts or (len(parts) > 1 and parts[0] in STATES):
+        parts = parts[: next((k for k, w in enumerate(parts) if w in STATES), len(parts))] if len(parts) > 1 else parts
+        if not parts:
             continue
         on.update(w for w in parts if w in ON_WORDS)
-        off.update(w for w in parts if w in OFF_WORDS)
+        found = {w for k, w in enumerate(parts) if w in OFF_WORDS and not (k and w in LAYOUT)}
         # Words written together: sitefooter, commentlist.
-        off.update(w for p in parts if p not in OFF_WORDS for w in OFF_WORDS if 6 <= len(w) < len(p) and (p.startswith(w) or p.endswith(w)))
-    return frozenset(off), frozenset(on)
+        found.update(w for p in parts if p not in OFF_WORDS for w in OFF_WORDS if 6 <= len(w) < len(p) and (p.startswith(w) or p.endswith(w)))
+        if len(parts) > 1 and len(found) == 1 and found <= HINTS:
+            hint = True
+        else:
+            off |= found
+    return frozenset(off), frozenset(on), hint
 
 
 class Node:
     """An open element: what it and the elements around it say about its text."""
 
-    __slots__ = ("children", "depth", "name", "off", "on", "parent", "skip")
+    __slots__ = ("depth", "hint", "name", "off", "on", "parent", "skip")
 
     def __init__(self, name: str, parent: Node | None, attributes: dict[str, str]):
-        self.name, self.parent, self.children = name, parent, 0
+        self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         off, on, skip = (parent.off, parent.on, parent.skip) if parent else (False, False, False)
-        named, good = named_parts(" ".join(attributes[key] for key in ("class", "id", "role") if key in attributes))
+        self.hint = parent.hint if parent else None  # the nearest element whose name hints at a page part
+        named, good, hint = named_parts(" ".join(attributes[key] for key in ("class", "id", "role") if key in attributes))
         whole = name in ("html", "body") or name in ON_ELEMENTS  # their classes describe the page
         if name in ON_ELEMENTS or (good and name not in ("html", "body")):
             on = True
         if not whole:
+            if hint:
+                self.hint = self
             if named - {"header"} or (named and not good):
                 off = True
             if name in OFF_ELEMENTS or (name == "header" and not on):
@@ -124,6 +144,16 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
     """
     root = Node("", None, {})
     stack, out = [root], []
+    opened: dict[str, list[int]] = {}  # where in the stack elements of a name are
+
+    def close(to: int) -> None:
+        """Close the elements from place ``to`` of the stack on."""
+        while len(stack) > to:
+            opened[stack.pop().name].pop()
+
+    def last(names) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
     text: list[str] = []
     linked, in_link = 0, 0
 
@@ -144,7 +174,7 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
             if token[:2] == "<!":
                 token = ""
             if stack[-1].name == "head" and token.strip(" \t\n\f\r"):
-                stack.pop()
+                close(len(stack) - 1)
             if not stack[-1].skip and token:
                 text.append(token)
                 if in_link:
@@ -156,18 +186,16 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
         name = named[1].lower()
         if token[1] == "/":
             if name in BLOCK or name in RAW:
-                if any(n.name == name for n in stack):
+                if opened.get(name):
                     flush()
-                    while stack[-1].name != name:
-                        stack.pop()
-                    stack.pop()
+                    close(opened[name][-1])
                 elif name == "p":
                     flush()
             elif name == "a":
                 in_link = max(0, in_link - 1)
             continue
         if name not in IN_HEAD and stack[-1].name == "head":
-            stack.pop()
+            close(len(stack) - 1)
         if name == "br":
             if not stack[-1].skip:
                 text.append(" ")
@@ -175,21 +203,12 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
         if name in BLOCK:
             flush()
             in_link = 0
-            if stack[-1].name == "p" or (name == "p" and any(n.name == "p" for n in stack)):  # a block ends a paragraph
-                while any(n.name == "p" for n in stack) and stack[-1].name != "p":
-                    if stack[-1].name in BLOCK:
-                        break
-                    stack.pop()
-                if stack[-1].name == "p":
-                    stack.pop()
+            if stack[-1].name == "p":  # a block ends a paragraph
+                close(len(stack) - 1)
             if name in ENDS:
                 own, container = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in container:
-                        break
-                    if stack[k].name in own and not (name in ("td", "th") and stack[k].name == "tr"):
-                        del stack[k:]
-                        break
+                if last(own) > last(container):
+                    close(last(own))
         if name == "a":
             in_link += 1
         if name in VOID:
@@ -198,7 +217,6 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
             attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(token, named.end(), len(token) - 1)} if len(token) > named.end() + 1 else {}
             if token[-2] == "/" and name in ("svg", "math"):
                 continue
-            stack[-1].children += 1
             if name in TEXT_ONLY:
                 end = END_TAG[name].search(page, position)
                 if end and nested and name == "script" and page.find("<!--", position, end.start()) >= 0:
@@ -208,11 +226,16 @@ def blocks(page: str) -> list[tuple[str, Node, int, str]]:
                 else:
                     position = end.end() if end else len(page)
                 continue
+            opened.setdefault(name, []).append(len(stack))
             stack.append(Node(name, stack[-1], attributes))
     flush()
     return out
 
 
+#: Log-odds of a block in an article or main element, or one named so; of a block in a page part that is no main text.
+ON, OFF = 4.0, -12.0
+
+
 def score(text: str, holder: Node, linked: int, name: str) -> float:
     """Log-odds that a block is main text; its positive and negative parts are the terminal capacities."""
     words = text.count(" ") + 1
@@ -221,16 +244,18 @@ def score(text: str, holder: Node, linked: int, name: str) -> float:
         value += 0.5
     value -= 4.0 * min(1.0, linked / len(text))
     if holder.on:
-        value += 6.0
+        value += ON
     elif name in HEADINGS:
         value += 0.5
     if holder.off:
-        value -= 20.0
+        value += OFF
     return value
 
 
 #: Capacities of the edges between neighbours in page order and between consecutive children of one element.
 NEAR, SIBLING = 0.8, 0.6
+#: Of an element whose name hints at a page part: its capacity to the sink, and of its edge to each block in it.
+HINT, HINTED = 6.0, 4.0
 
 
 def _distance(a: Node, b: Node) -> int:
@@ -244,58 +269,106 @@ def _distance(a: Node, b: Node) -> int:
     return d
 
 
+TINY = 1e-9
+
+
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source's side of a minimum cut.
 
     Node i has an edge of capacity max(score, 0) from the source and max(-score, 0) to the sink;
-    ``edges`` (i, j, capacity) go both ways. Shortest augmenting paths from all nodes with
-    capacity left from the source to the nearest with capacity left to the sink.
+    ``edges`` (i, j, capacity) go both ways. A node whose terminal capacity is above all its edges
+    together is on that terminal's side in every minimum cut; its edges then are terminal capacities
+    of its neighbours. What is left after all such nodes is cut by maximum flow.
     """
     n = len(scores)
-    excess = list(scores)  # positive: left from the source, negative: left to the sink
-    residual: list[dict[int, float]] = [{} for _ in range(n)]
+    left = list(scores)
+    around: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, c in edges:
-        residual[i][j] = residual[i].get(j, 0.0) + c
-        residual[j][i] = residual[j].get(i, 0.0) + c
-    tiny = 1e-9
+        around[i][j] = around[i].get(j, 0.0) + c
+        around[j][i] = around[j].get(i, 0.0) + c
+    pull = [sum(a.values()) for a in around]
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if side[i] is not None or abs(left[i]) <= pull[i] + TINY and around[i]:
+            continue
+        side[i] = left[i] > 0
+        for j, c in around[i].items():
+            if side[j] is None:
+                del around[j][i]
+                pull[j] -= c
+                left[j] += c if side[i] else -c
+                todo.append(j)
+    rest = [i for i in range(n) if side[i] is None]
+    if rest:
+        number = {i: k for k, i in enumerate(rest)}
+        reached = _maximum_flow([left[i] for i in rest], [{number[j]: c for j, c in around[i].items() if side[j] is None} for i in rest])
+        for i, source in zip(rest, reached, strict=True):
+            side[i] = source
+    return side
+
+
+def _maximum_flow(excess: list[float], residual: list[dict[int, float]]) -> list[bool]:
+    """Nodes that the source still reaches after a maximum flow: blocking flows along layers of shortest paths."""
+    n = len(excess)
     while True:
-        parent = [-2] * n
-        queue = deque()
-        for i in range(n):
-            if excess[i] > tiny:
-                parent[i] = -1
-                queue.append(i)
-        goal = -1
-        while queue and goal < 0:
-            i = queue.popleft()
-            for j, c in residual[i].items():
-                if c > tiny and parent[j] == -2:
-                    parent[j] = i
-                    if excess[j] < -tiny:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal < 0:
-            return [p != -2 for p in parent]
-        flow, j = -excess[goal], goal
-        while parent[j] >= 0:
-            flow = min(flow, residual[parent[j]][j])
-            j = parent[j]
-        flow = min(flow, excess[j])
-        excess[j] -= flow
-        excess[goal] += flow
-        j = goal
-        while parent[j] >= 0:
-            i = parent[j]
-            residual[i][j] -= flow
-            residual[j][i] += flow
-            j = i
+        # Layers count from the sink's side: what is left to the sink is layer 0.
+        layer = [0 if e < -TINY else -1 for e in excess]
+        queue = deque(i for i in range(n) if layer[i] == 0)
+        while queue:
+            j = queue.popleft()
+            for i in residual[j]:
+                if layer[i] < 0 and residual[i][j] > TINY:
+                    layer[i] = layer[j] + 1
+                    queue.append(i)
+        starts = [i for i in range(n) if excess[i] > TINY and layer[i] > 0]
+        if not starts:
+            # The source's side: all that nodes with capacity left from the source reach.
+            seen = [e > TINY for e in excess]
+            queue = deque(i for i in range(n) if seen[i])
+            while queue:
+                i = queue.popleft()
+                for j, c in residual[i].items():
+                    if c > TINY and not seen[j]:
+                        seen[j] = True
+                        queue.append(j)
+            return seen
+        arcs = [iter(tuple(r)) for r in residual]
+        ahead = [next(a, None) for a in arcs]
+        for start in starts:
+            path = [start]
+            while path and excess[start] > TINY:
+                i = path[-1]
+                if layer[i] == 0:
+                    if excess[i] < -TINY:
+                        flow = min(excess[start], -excess[i], *(residual[a][b] for a, b in zip(path, path[1:], strict=False)))
+                        for a, b in zip(path, path[1:], strict=False):
+                            residual[a][b] -= flow
+                            residual[b][a] += flow
+                        excess[start] -= flow
+                        excess[i] += flow
+                        path = [start]
+                    else:
+                        path.pop()
+                        if path:
+                            ahead[path[-1]] = next(arcs[path[-1]], None)
+                    continue
+                j = ahead[i]
+                if j is None:
+                    path.pop()
+                    if path:
+                        ahead[path[-1]] = next(arcs[path[-1]], None)
+                elif layer[j] == layer[i] - 1 and residual[i][j] > TINY:
+                    path.append(j)
+                else:
+                    ahead[i] = next(arcs[i], None)
 
 
 def label(found: list[tuple[str, Node, int, str]]) -> list[bool]:
     """Whether each block is main text."""
     scores = [score(*b) for b in found]
-    edges, last = [], {}
+    edges, last, hints = [], {}, {}
     for k, (_, holder, _, _) in enumerate(found):
         if k:
             other = found[k - 1][1]
@@ -304,10 +377,12 @@ def label(found: list[tuple[str, Node, int, str]]) -> list[bool]:
         if above in last and last[above] != k:
             edges.append((last[above], k, SIBLING))
         last[above] = k
-    # With no edge between unlike signs nothing flows: the cut follows the signs.
-    if all((scores[i] > 0) == (scores[j] > 0) for i, j, _ in edges):
-        return [s > 0 for s in scores]
-    return minimum_cut(scores, edges)
+        if holder.hint is not None:
+            hints.setdefault(id(holder.hint), []).append(k)
+    for element, within in enumerate(hints.values(), len(found)):
+        scores.append(-HINT)
+        edges += [(k, element, HINTED) for k in within]
+    return minimum_cut(scores, edges)[: len(found)]
 
 
 def main_text(page: str | None) -> str:
@@ -331,9 +406,10 @@ def extract(pages: DataFrame, *, html_col: str = "html", carry: list[str] | None
     at = needed.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(at)]
-            columns = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(needed.index(c)) for c in keep] + columns, names=[*keep, *own])
+        for whole in batches:
+            for batch in pieces(whole, at):
+                texts = [main_text(x.as_py()) for x in batch.column(at)]
+                columns = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(needed.index(c)) for c in keep] + columns, names=[*keep, *own])
 
     return pages.select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(run, schema)

@@ -422,6 +422,40 @@ def test_minimum_cut_is_minimal(scores, edges):
     assert cost(html_extract.minimum_cut(scores, edges)) == pytest.approx(best, abs=1e-6)
 
 
+LONG = [f"Paragraph number {k} of the article says a few things, and goes on for a while to say some more of them, as articles do." for k in range(5)]
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "content-with-sidebar", "elementor-widget-container", "post-share-wrap", "legal-analysis", "notices-of-death"])
+@pytest.mark.parametrize("form", ['<div class="{}">{}</div>', '<article><div class="{}">{}</div></article>'])
+def test_html_names_that_only_hint_are_outvoted(name, form):
+    page = '<div class="nav"><a href="x">Home</a></div>' + form.format(name, "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in LONG)) + '<div class="footer">All rights reserved</div>'
+    assert html_extract.main_text(page) == "\n".join(["Title", *LONG])
+    part = f'<div class="{name.replace("post-", "").replace("content-with-", "")}"><p>Say yes to our terms.</p></div>'
+    if name not in ("overflow-hidden",):
+        assert html_extract.main_text(f'<div class="x">{"".join(f"<p>{x}</p>" for x in LONG)}</div>{part}') == "\n".join(LONG)
+
+
+def test_html_cut_changes_labels():
+    """A line of the article that is all link is called boilerplate by its own score; its neighbours keep it. The same line alone goes."""
+    page = f'<article><p>{LONG[0]}</p><p><a href="x">See the second report</a></p><p>{LONG[1]}</p></article>'
+    found = html_extract.blocks(page)
+    assert [html_extract.score(*b) > 0 for b in found] == [True, False, True] and html_extract.label(found) == [True, True, True]
+    assert html_extract.main_text('<p><a href="x">See the second report</a></p>') == ""
+    short = f'<div class="x"><p>{LONG[0]}</p><p>Yes</p><p>{LONG[1]}</p></div>'
+    assert [html_extract.score(*b) > 0 for b in html_extract.blocks(short)] == [True, False, True] and html_extract.main_text(short).count("\n") == 2
+
+
+def test_html_of_large_pages():
+    begin = __import__("time").monotonic()
+    alternating = "".join(f"<p>{LONG[0]}</p><p><a href=x>Link {k}</a></p>" for k in range(25_000))
+    for page in (alternating, "<div><p>words here" * 50_000, "<div>" * 50_000 + "<li>item" * 50_000):
+        assert html_extract.main_text(page) is not None
+    rng = np.random.default_rng(2)
+    n = 50_000
+    html_extract.minimum_cut(rng.normal(0, 0.5, n).tolist(), [(k, k + 1, 0.8) for k in range(n - 1)] + [(k, k + 7, 0.6) for k in range(n - 7)])
+    assert __import__("time").monotonic() - begin < 60
+
+
 # SimHash
 
 
