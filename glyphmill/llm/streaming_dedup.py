@@ -57,7 +57,8 @@ def dedup_index(
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema(spark.read.parquet(path).schema)
+        # No file is too old: by default a file a week older than the newest is passed over.
+        reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFileAge", "36500d")
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
         seen = reader.parquet(_glob(path)).select(digest(normalised(text_col)).alias("digest"), _ref(id_col).alias("ref"))
@@ -142,15 +143,22 @@ def dedup_files(
 
 
 def _own_files(docs: DataFrame) -> str | None:
-    """The path of a DataFrame that is nothing but a scan of one folder or file of Parquet, else null."""
+    """The path of a DataFrame that is nothing but a scan of one folder or file of Parquet, else null.
+
+    Reading that path again must give the same rows: the scan has no options of its own (filters on files, nested
+    folders, merged schemas, rebased dates), no partition columns, and the schema that the files have.
+    """
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation":
         return None
     relation = plan.relation()
     if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet" or relation.partitionSchema().length():
         return None
-    roots = relation.location().rootPaths()
-    return roots.head().toString() if roots.size() == 1 else None
+    options, roots = relation.options(), relation.location().rootPaths()
+    if roots.size() != 1 or options.size() > (1 if options.contains("path") else 0):
+        return None
+    path = roots.head().toString()
+    return path if docs.sparkSession.read.parquet(path).schema == docs.schema else None
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
