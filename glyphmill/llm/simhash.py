@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, others, pieces, release_memory, small
+from .common import cut, fresh, look_up, others, pieces, release_memory, small
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Bits of the six blocks, in pairs: 5 or 6 segments each.
@@ -159,25 +159,6 @@ def spanning_links(fps: DataFrame, *, most: int = MOST) -> DataFrame:
     return edges.distinct()
 
 
-#: A key that more than this share of all rows hold is looked up by broadcast; so at most as many keys are.
-HOT_SHARE = 1 / 1000
-
-
-def look_up(rows: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
-    """``rows`` joined with the only row of ``table`` that has their ``key``; rows without one are left out.
-
-    Rows of hot keys stay where they are and meet the at most 1,000 or so table rows of these keys by broadcast; the others are shuffled.
-    """
-    bound = max(100, int(rows.count() * HOT_SHARE))
-    values = [c for c in table.columns if c != table_key]
-    counted = rows.groupBy(key).count().filter(F.col("count") > bound).select(F.col(key).alias(table_key))
-    held = table.join(F.broadcast(counted), table_key, "left_semi")
-    (there,) = fresh([*rows.columns, *table.columns], "there")
-    tagged = rows.join(F.broadcast(held.withColumn(there, F.lit(True))), F.col(key) == F.col(table_key), "left").drop(table_key)
-    rest = tagged.filter(F.col(there).isNull()).select(*rows.columns).join(table, F.col(key) == F.col(table_key)).select(*rows.columns, *values)
-    return tagged.filter(there).select(*rows.columns, *values).unionByName(rest)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b), by min-label rounds with pointer jumping, each cut to the shared folder.
 
