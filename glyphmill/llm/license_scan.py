@@ -10,6 +10,10 @@ the whole text are units too: from a bigram of the template to another, no longe
 at least t / (2 - t) of the template's bigrams, texts without any of a few fixed ones of each template (``anchors``) hold no
 licence and are not searched.
 
+Dice cannot tell "version 2" from "version 3", nor "not licensed" from "licensed". So a match is refused unless unit and template agree
+in the words that change which licence it is (``MARKS``), the unit has all of the template's version numerals, and no negation stands
+among the three words before a run.
+
 All is done within a row: no join, no shuffle. Templates are a fixed table of a few kilobytes.
 """
 
@@ -25,12 +29,35 @@ from .license_templates import TEMPLATES
 
 THRESHOLD = 0.8
 
+# Words that change which licence a text names, or that it does; a unit and a template have words of the same groups.
+MARKS = (
+    ("noncommercial", "commercial", "nc"), ("noderivatives", "noderivs", "derivatives", "nd"), ("sharealike", "alike", "sa"), ("lesser", "library", "lgpl"), ("affero", "agpl"),
+    ("neither",), ("not", "never", "cannot", "isn", "wasn", "aren"),
+)
+NEGATIONS = MARKS[-1]
+
 
 def _plain_bigrams(text: str) -> list[str]:
     words = re.findall(r"[0-9a-z]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _marks(text: str) -> int:
+    words = set(re.findall(r"[0-9a-z]+", text.lower()))
+    return sum(1 << k for k, group in enumerate(MARKS) if words & set(group))
+
+
+def _numerals(text: str) -> list[str]:
+    return sorted(set(re.findall(r"(?<![0-9a-z])[0-9](?![0-9a-z])", text.lower())))
+
+
+def agrees(template: Column, words: Column) -> Column:
+    """Whether a unit of these words may be what the template names."""
+    marked = lambda group: F.arrays_overlap(words, F.array(*map(F.lit, group))).cast("int")
+    marks = sum((marked(group) * (1 << k) for k, group in enumerate(MARKS)), F.lit(0))
+    return (marks == template["marks"]) & (F.size(F.array_except(template["numerals"], words)) == 0)
+
+
 def _least(size: int, threshold: float) -> int:
     """Number of a template's bigrams that a unit must share to reach the threshold."""
     return max(1, math.ceil(size * threshold / (2 - threshold) - 1e-9))
@@ -44,7 +71,8 @@ def _templates(templates, threshold: float) -> Column:
         grams = _plain_bigrams(text)
         listed = f"array({', '.join(map(quoted, grams))})" if grams else "cast(array() as array<string>)"
         least, most = _least(len(grams), threshold), int(len(grams) * (2 - threshold) / threshold)
-        rows.append(f"named_struct('k', {k}, 'license', {quoted(name)}, 'form', {quoted(form)}, 'n', {len(grams)}, 'grams', {listed}, 'least', {least}, 'most', {most})")
+        numerals = f"cast(array({', '.join(map(quoted, _numerals(text)))}) as array<string>)"
+        rows.append(f"named_struct('k', {k}, 'license', {quoted(name)}, 'form', {quoted(form)}, 'n', {len(grams)}, 'grams', {listed}, 'least', {least}, 'most', {most}, 'marks', {_marks(text)}, 'numerals', {numerals})")
     return F.expr(f"array({', '.join(rows)})")
 
 
@@ -77,16 +105,17 @@ def matches(unit: Column, templates: Column, low: int, high: int, threshold: flo
     none = F.expr("cast(array() as array<struct<dice:double,k:int,license:string,form:string>>)")
     words = F.split(unit, " ")
 
-    def compare(grams: Column) -> Column:
+    def compare(grams: Column, w: Column) -> Column:
         n = F.size(grams)
         near = F.filter(templates, lambda t: (n <= t["n"] * ((2 - threshold) / threshold)) & (n >= t["n"] * (threshold / (2 - threshold))))
         scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(grams, t["grams"])) / (n + t["n"])).alias("dice"), t["k"], t["license"], t["form"]))
-        good = F.sort_array(F.filter(scored, lambda x: x["dice"] <= -threshold))
+        enough = F.filter(scored, lambda x: x["dice"] <= -threshold)
+        good = F.sort_array(F.filter(enough, lambda x: agrees(F.get(templates, x["k"]), w)))
         return F.transform(good, lambda x: F.struct((-x["dice"]).alias("dice"), x["k"], x["license"], x["form"]))
 
     def pairs(w: Column) -> Column:
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, F.lit(2)), " ")))
-        return _let(grams, lambda g: F.when((F.size(g) >= low) & (F.size(g) <= high), compare(g)).otherwise(none))
+        return _let(grams, lambda g: F.when((F.size(g) >= low) & (F.size(g) <= high), compare(g, w)).otherwise(none))
 
     # A set of bigrams has no more members than the unit has words, less one, and no fewer than it has different words, less one.
     return _let(words, lambda w: F.when((F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1), pairs(w)).otherwise(none))
@@ -100,7 +129,7 @@ def runs(text: Column, templates: Column, grams: list[str], threshold: float) ->
     """
     kind = "array<struct<dice:double,k:int,at:int,end:int,license:string,form:string>>"
 
-    def of_template(t: Column, pairs: Column, hits: Column) -> Column:
+    def of_template(t: Column, w: Column, pairs: Column, hits: Column) -> Column:
         def scored(h: Column) -> Column:
             # Hit j and hit j + least - 1 must lie within a run of the greatest length.
             starts = F.filter(F.transform(h, lambda x, j: F.struct(x["i"].alias("i"), j.alias("j"))), lambda x: F.get(h, x["j"] + t["least"] - 1)["i"] - x["i"] < t["most"])
@@ -111,19 +140,23 @@ def runs(text: Column, templates: Column, grams: list[str], threshold: float) ->
                 return _let(end, lambda e: _let(F.array_distinct(F.slice(pairs, x["i"] + 1, e - x["i"] + 1)), lambda own: F.struct(
                     (-2.0 * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + t["n"])).alias("dice"), t["k"], x["i"].alias("at"), e.alias("end"), t["license"], t["form"])))
 
-            return F.filter(F.transform(starts, run), lambda r: r["dice"] <= -threshold)
+            def stands(r: Column) -> Column:
+                before = F.slice(w, F.greatest(r["at"] - 2, F.lit(1)), F.least(r["at"], F.lit(3)))
+                return agrees(t, F.slice(w, r["at"] + 1, r["end"] - r["at"] + 2)) & ~F.arrays_overlap(before, F.array(*map(F.lit, NEGATIONS)))
+
+            return F.filter(F.filter(F.transform(starts, run), lambda r: r["dice"] <= -threshold), stands)
 
         return _let(F.filter(hits, lambda x: F.array_contains(t["grams"], x["g"])), scored)
 
-    def found(pairs: Column) -> Column:
+    def found(w: Column, pairs: Column) -> Column:
         hits = F.filter(F.transform(pairs, lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x["g"].rlike(f"^{_pattern(grams, ' ')}$"))
-        best = F.sort_array(_let(hits, lambda h: F.flatten(F.transform(templates, lambda t: of_template(t, pairs, h)))))
+        best = F.sort_array(_let(hits, lambda h: F.flatten(F.transform(templates, lambda t: of_template(t, w, pairs, h)))))
         return F.aggregate(best, F.expr(f"cast(array() as {kind})"), lambda taken, r: F.when(F.exists(taken, lambda o: (o["at"] <= r["end"]) & (r["at"] <= o["end"])), taken).otherwise(F.concat(taken, F.array(r))))
 
     words = F.split(text, " ")
     pairs = lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
     return F.transform(
-        _let(words, lambda w: F.when(F.size(w) > 1, _let(pairs(w), found)).otherwise(F.expr(f"cast(array() as {kind})"))),
+        _let(words, lambda w: F.when(F.size(w) > 1, _let(pairs(w), lambda p: found(w, p))).otherwise(F.expr(f"cast(array() as {kind})"))),
         lambda r: F.struct((-r["dice"]).alias("dice"), r["k"], r["at"], r["end"], r["license"], r["form"]),
     )
 

@@ -113,7 +113,11 @@ def test_license_dice_equals_brute_force(spark):
         w = re.findall("[0-9a-z]+", s.lower())
         return set(zip(w, w[1:], strict=False))
 
-    templates = [(n, grams(t)) for n, _, t in license_scan.TEMPLATES]
+    def said(text):
+        words = re.findall("[0-9a-z]+", text.lower())
+        return {w for w in words if re.fullmatch("[0-9]", w)}, [bool(set(words) & set(group)) for group in license_scan.MARKS]
+
+    templates = [(n, grams(t), said(t)) for n, _, t in license_scan.TEMPLATES]
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: r for r in queries.op2_license_scan(spark, DATA).collect()}
     assert len(got) == len(rows)
@@ -123,7 +127,8 @@ def test_license_dice_equals_brute_force(spark):
         paragraphs = re.split(r"\n[\x20\x09-\x0D]*\n", r["text"])
         for unit in units + (paragraphs if len(paragraphs) > 1 else []) + ([r["text"]] if len(units) > 1 else []):
             g = grams(unit)
-            dice, k = max((2 * len(g & t) / (len(g) + len(t)), -k) for k, (_, t) in enumerate(templates))
+            digits, marks = said(unit)
+            dice, k = max(((2 * len(g & t) / (len(g) + len(t)), -k) for k, (_, t, (needed, same)) in enumerate(templates) if needed <= digits and same == marks), default=(0, 0))
             if dice >= license_scan.THRESHOLD:
                 names.add(templates[-k][0])
                 best = max(best, dice)
@@ -146,6 +151,23 @@ def test_licenses_within_texts(spark):
     assert next(r for r in found if r["doc_id"] == 4)["license_spans"][0][:3] == ("words", 601, "MIT")
 
 
+def test_licenses_of_other_versions_and_terms(spark):
+    """Unit by unit and inside longer lines: versions, terms and negation decide, not the coefficient alone."""
+    bsd = {n: t for n, _, t in license_scan.TEMPLATES if n.startswith("BSD")}
+    texts = {
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": "CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 2.0 International License.": "", "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+        "This work is licensed under the GNU General Public License, version 1.": "", "This work is licensed under the GNU General Public License.": "", "This work is not licensed under the GNU General Public License, version 3.": "",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "CC-BY-3.0", "This work is licensed under the GNU Library General Public License, version 2.": "", "Not released under the MIT License.": "",
+        bsd["BSD-2-Clause"]: "BSD-2-Clause", bsd["BSD-3-Clause"]: "BSD-3-Clause", bsd["BSD-3-Clause"].replace("copyright holder nor", "University nor"): "BSD-3-Clause",
+    }
+    filler = " ".join(f"word{k} thing{k * 7}" for k in range(60))
+    rows = list(texts.items()) + [(f"{filler} {t} {filler}", want) for t, want in texts.items()]
+    found = license_scan.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string"), carry=["doc_id"]).collect()
+    got = {r["doc_id"]: ",".join(n for n in r["licenses"] if " OR " not in n) for r in found}
+    assert got == {k: want for k, (_, want) in enumerate(rows)}
+
+
 def test_license_anchors_miss_nothing():
     """Whatever fixed share of a template's bigrams a match may lack, an anchor is left."""
     pattern = re.compile(license_scan.anchors(license_scan.TEMPLATES, license_scan.THRESHOLD))
