@@ -25,11 +25,18 @@ CYCLE = (1.0, 2.0, 3.0)
 
 
 def cycle_schedule(weights: tuple[float, ...] = CYCLE) -> Callable[[Column, Column], Column]:
-    """A schedule of constant weights: the k-th source by name gets ``weights[k % len(weights)]``."""
+    """A curriculum over sources in the order of their names: the integral of the k-th one's weight is ``weights[k % len(weights)]``.
+
+    Weights change over the time: those of odd sources (the first, third, ...) rise from half to one and a half times
+    their integral, those of the others fall likewise.
+    """
 
     def knots(source: Column, rank: Column) -> Column:
         w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-        return F.array(F.struct(F.lit(0.0).alias("t"), w.alias("w")), F.struct(F.lit(1.0).alias("t"), w.alias("w")))
+        rises = rank % 2 == 1
+        low, high = w * 0.5, w * 1.5
+        ends = F.when(rises, low).otherwise(high), F.when(rises, high).otherwise(low)
+        return F.array(*(F.struct(F.lit(t).alias("t"), e.alias("w")) for t, e in zip((0.0, 1.0), ends, strict=True)))
 
     return knots
 
@@ -102,7 +109,7 @@ def plan_mix(
 
     Null source: a source of its own, last in order. Null or empty text: size 0, nothing taken, no
     position, last in order. Null id: hashed as the empty string. Repeated rows are separate
-    documents; equal ids are ordered by size and text hash. Empty table: no rows.
+    documents; equal ids are ordered by size and a hash of all columns (of maps and variants none). Empty table: no rows.
     """
     schedule = schedule or cycle_schedule()
     own = ("size", "source_size", "target", "taken", "positions")
@@ -114,7 +121,7 @@ def plan_mix(
         skey: F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")),
         key: F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")),
         size: n_words(text_col),
-    }).withColumns({bucket: F.substring(key, 1, width), tie: F.xxhash64(F.col(text_col))})
+    }).withColumns({bucket: F.substring(key, 1, width), tie: F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])})
 
     by_bucket = sized.groupBy(skey, bucket).agg(F.sum(size).alias(before))
     along = Window.partitionBy(skey).orderBy(bucket)

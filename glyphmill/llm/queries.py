@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,22 +88,28 @@ WITH docs AS (
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w
+         CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w,
+         CASE WHEN row_number() OVER (ORDER BY source NULLS LAST) % 2 = 1 THEN 0.5 ELSE 1.5 END AS first
   FROM docs GROUP BY source),
 ordered AS (
   SELECT *, 3.0 * source_size / w AS ratio, sum(source_size) OVER () AS whole, sum(w) OVER () AS all_w,
          coalesce(sum(3.0 * source_size) OVER before, 0) AS full_before, coalesce(sum(w) OVER before, 0) AS w_before
   FROM sources WINDOW before AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, max((whole - full_before) / (all_w - w_before)) OVER () AS level FROM ordered),
-targets AS (SELECT source, source_size, CAST(least(3.0 * source_size, level * w) AS DOUBLE) AS target FROM levels),
+targets AS (
+  SELECT source, source_size, CAST(least(3.0 * source_size, level * w) AS DOUBLE) AS target, w,
+         CAST(w * first AS DOUBLE) AS w0, CAST(w * (2.0 - first) AS DOUBLE) - CAST(w * first AS DOUBLE) AS slope
+  FROM levels),
 placed AS (
-  SELECT docs.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS stop,
+  SELECT docs.*, t.source_size, t.target, t.w, t.w0, t.slope, CAST(floor(t.target + 0.5) AS BIGINT) AS stop,
          coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM docs JOIN targets t ON docs.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(size, stop - start)) + greatest(0, least(size, stop - start - source_size))
-            + greatest(0, least(size, stop - start - 2 * source_size)) AS BIGINT) AS taken
-FROM placed
+            + greatest(0, least(size, stop - start - 2 * source_size)) AS BIGINT) AS taken,
+       -- the time t at which the source's demand w0 t + slope t^2 / 2 is at the document's place
+       CASE WHEN size > 0 AND stop > start THEN 2 * area / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * area, 0))) END AS position
+FROM (SELECT *, CASE WHEN size > 0 AND stop > start THEN w * start / target END AS area FROM placed)
 """
 
 _OP5 = rf"""
