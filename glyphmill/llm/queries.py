@@ -132,11 +132,11 @@ m AS (
   SELECT d.doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM d LEFT JOIN covered USING (doc_id)),
 j AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         coalesce(100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 30 * n_words OR word_chars / nullif(n_words, 0) < 2 OR word_chars / nullif(n_words, 0) > 15, false) AS soft_failed
+         coalesce(100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars / nullif(n_words, 0) < 2 OR word_chars / nullif(n_words, 0) > 15, false) AS soft_failed
   FROM m),
 hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR soft_failed THEN 1 ELSE 0 END) AS f FROM j GROUP BY source),
 moments AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2) AS v FROM hosts),
