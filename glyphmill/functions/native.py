@@ -173,7 +173,8 @@ def grapheme_truncate(c, n: int) -> Column:
 
 def slugify_ascii(c, separator: str = "-") -> Column:
     """The slug of texts that hold ASCII only, with the default options."""
-    return F.trim(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", separator)) if separator == " " else F.btrim(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", separator), F.lit(separator))
+    literal = separator.replace("\\", "\\\\").replace("$", "\\$")  # as a replacement it is no pattern
+    return F.regexp_replace(F.regexp_replace(F.lower(_col(c)), "^[^a-z0-9]+|[^a-z0-9]+$", ""), "[^a-z0-9]+", literal)
 
 
 def strip_format(c) -> Column:

@@ -1,28 +1,29 @@
 """Operators on whole tables: keys, joins, slugs, reports and recovery metrics."""
 
-from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import native, udfs
 from ..functions.security import Lexicon
 
-#: A side of a join is broadcast only if a count shows no more rows than this.
-BROADCAST_ROWS = 50_000
+#: A side of a join is broadcast only if a count shows no more rows and bytes of values than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 
 
 def once_per_value(df: DataFrame, column: str, function: Callable[[Column], Column], name: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with ``name`` = function(column), computed once per distinct value and joined back.
 
-    The distinct values are broadcast if a count shows few; else they are joined by a shuffle. Worth it for columns
+    The distinct values are broadcast if a count shows few short ones; else they are joined by a shuffle. Worth it for columns
     whose values repeat. Null values get null.
     """
     values = df.select(F.col(column).alias("value_")).where("value_ is not null").distinct()
     mapped = values.withColumn(name, function(F.col("value_")))
-    if values.count() <= broadcast_rows:
+    counted = values.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("value_")), F.lit(0)).alias("bytes")).first()
+    if counted["n"] <= broadcast_rows and counted["bytes"] <= BROADCAST_BYTES:
         mapped = F.broadcast(mapped)
     return df.join(mapped, F.col(column) == F.col("value_"), "left").drop("value_")
 
@@ -122,30 +123,38 @@ def script_profile(df: DataFrame, column: str, *by: str) -> DataFrame:
 def recovery(df: DataFrame, clean: str, recovered: str) -> DataFrame:
     """Rows, share of exact matches and share of recovered words (as multisets, over all words)."""
     words = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
-    counts = lambda c, w: F.size(F.filter(words(c), lambda x: x == w))
-    both = F.aggregate(F.array_distinct(words(clean)), F.lit(0), lambda acc, w: acc + F.least(counts(clean, w), counts(recovered, w)))
-    return df.select((F.col(clean) == F.col(recovered)).cast("double").alias("exact"), both.alias("common"), F.size(words(clean)).alias("total")).agg(
-        F.count("*").alias("n"), F.avg("exact").alias("xmr"), (F.sum("common") / F.sum("total")).alias("word_recovery")
-    )
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    tagged = lambda c, a, b: F.coalesce(F.transform(words(c), lambda w: F.struct(w.alias("w"), a.alias("a"), b.alias("b"), zero.alias("n"), zero.alias("same"))), none)
+    none = F.expr("cast(array() as array<struct<w:string,a:bigint,b:bigint,n:bigint,same:bigint>>)")
+    head = F.array(F.struct(F.lit(None).cast("string").alias("w"), zero.alias("a"), zero.alias("b"), one.alias("n"), (F.col(clean) == F.col(recovered)).cast("long").alias("same")))
+    each = df.select(F.monotonically_increasing_id().alias("row"), F.concat(head, tagged(clean, one, zero), tagged(recovered, zero, one)).alias("words")).select("row", F.inline("words"))
+    counted = each.groupBy("row", "w").agg(*(F.sum(c).alias(c) for c in ("a", "b", "n", "same")))
+    return counted.agg(
+        F.sum("n").alias("n"), (F.sum("same") / F.sum(F.when(F.col("same").isNotNull(), F.col("n")))).alias("xmr"), (F.sum(F.least("a", "b")) / F.sum("a")).alias("word_recovery")
+    ).withColumn("n", F.coalesce("n", zero))
+
+
+def _word_edits(reference: str, output: str) -> int:
+    x, y = reference.split(), output.split()
+    row = list(range(len(y) + 1))
+    for i, w in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, v in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (w != v))
+    return row[-1]
 
 
 def cer_wer(df: DataFrame, reference: str, output: str) -> DataFrame:
     """Character and word error rate, micro-averaged: edits over the reference's characters and words."""
 
-    def word_edits(pair) -> int:
-        a, b = pair.split("\0")
-        x, y = a.split(), b.split()
-        row = list(range(len(y) + 1))
-        for i, w in enumerate(x, 1):
-            before, row[0] = row[0], i
-            for j, v in enumerate(y, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (w != v))
-        return row[-1]
-
-    edits = udfs.vectorised(word_edits, "int")(F.concat_ws("\0", reference, output))
+    @F.pandas_udf("long")
+    def edits(references: pd.Series, outputs: pd.Series) -> pd.Series:
+        return pd.Series([_word_edits(a, b) for a, b in zip(references, outputs, strict=True)], dtype="int64")
+
     rows = df.where(F.col(reference).isNotNull() & F.col(output).isNotNull())
     return rows.agg(
-        (F.sum(F.levenshtein(reference, output)) / F.sum(F.length(reference))).alias("cer"), (F.sum(edits) / F.sum(F.size(F.filter(F.split(reference, r"\s+"), lambda w: w != "")))).alias("wer")
+        (F.sum(F.levenshtein(reference, output)) / F.sum(F.length(reference))).alias("cer"),
+        (F.sum(edits(reference, output)) / F.sum(F.size(F.filter(F.split(reference, r"\s+"), lambda w: w != "")))).alias("wer"),
     )
 
 

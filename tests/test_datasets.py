@@ -69,6 +69,26 @@ def test_recovery_and_error_rates(spark):
     assert (got["cer"], got["wer"]) == (1 / 6, 1 / 4)
 
 
+def test_error_rates_of_odd_texts(spark):
+    """NUL is a character like any other; nulls on either side are left out of the rates and count as lost words."""
+    df = spark.createDataFrame([("a\0b c", "a\0b d"), (None, "x"), ("y", None), ("", "")], "a string, b string")
+    got = D.cer_wer(df, "a", "b").first()
+    assert (got["cer"], got["wer"]) == (1 / 5, 1 / 2)
+    assert D.recovery(df, "a", "b").first().asDict() == {"n": 4, "xmr": 1 / 2, "word_recovery": 1 / 3}
+    assert D.recovery(df.limit(0), "a", "b").first().asDict() == {"n": 0, "xmr": None, "word_recovery": None}
+
+
+def test_recovery_equals_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    rows = [tuple(" ".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(2)) for _ in range(50)]
+    common = sum(sum((Counter(a.split()) & Counter(b.split())).values()) for a, b in rows)
+    got = D.recovery(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()
+    assert got["word_recovery"] == common / sum(len(a.split()) for a, _ in rows) and got["xmr"] == sum(a == b for a, b in rows) / 50
+
+
 def test_profiles_and_mining(spark):
     df = rows(spark, ["aя", "b", None])
     assert {r["script"]: r["n"] for r in D.script_profile(df, "x").collect()} == {"Latin": 2, "Cyrillic": 1}

@@ -229,7 +229,7 @@ def test_bytes():
     (native.fold_case, "STRASSE ẞ ς", "strasse ss σ"), (lambda c: native.normalize(c, "NFKC"), "ﬁ", "fi"), (native.collapse_whitespace, "　a ⠀b\n", "a b"),
     (lambda c: native.strip_zalgo(c, 1), "à́̂", "à"), (native.strip_tags, "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F\U000E0041", "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F"),
     (lambda c: F.array_join(native.detect_scripts(c), ","), "abя1", "Latin,Cyrillic"), (lambda c: native.strip_log_injection(c, "$1\\", True), "a\tb\n", "a\tb$1\\"), (lambda c: native.grapheme_truncate(c, 1), "éx", "é"),
-    (lambda c: native.grapheme_truncate(c, 0), "abc", ""), (native.slugify_ascii, "Hello, World!", "hello-world"),
+    (lambda c: native.grapheme_truncate(c, 0), "abc", ""), (native.slugify_ascii, "Hello, World!", "hello-world"), (lambda c: native.slugify_ascii(c, "$"), "Hello, World!", "hello$world"), (lambda c: native.slugify_ascii(c, "\\"), " a b ", "a\\b"),
 ])
 def test_native(spark, make, text, expected):
     assert column(spark, text, make) == expected
