@@ -1,16 +1,19 @@
 """Quality classifier by co-training.
 
-Two logistic regressions see different views of a document: the words of its text, and the
-metadata of its page (language, source, length and layout). Each labels the unlabelled documents of
-a bounded pool that it is most sure about, for the other to learn from, over some rounds. Both are
-then calibrated on labelled documents that neither has learnt from, and a last regression combines
-the calibrated views. The models are a few hundred kilobytes; all documents are scored by them in
-one pass without a shuffle.
+Two logistic regressions see different views of a document: its text (words, endings, repetition and
+layout), and the metadata of its page (language, source and length as the table gives them, nothing
+read from the text). Over some rounds each scores all unlabelled documents, and the ones that it is
+most sure about are labelled for the other to learn from. Both are then calibrated on labelled
+documents that neither has learnt from, and a last regression combines the calibrated views.
+
+Both views of every document are computed once and kept as narrow features in the shared folder;
+rounds and scores read these. Only labelled rows that are learnt from (a stated bound) and the
+rounds' picks come to the driver. The models are a few hundred kilobytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,10 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, fresh, pieces, release_memory, scratch
+
 WIDTH = 1 << 16  # hashed features of the text view
-META, NUMBERS = 64, 9  # hashed features of the metadata view, and numbers after them
-#: Bounds of what is fitted: labelled and unlabelled documents, chosen by the hash of their ids.
-MAX_LABELLED, MAX_POOL = 4_000, 4_000
+META, LENGTHS = 64, 24  # hashed features of the metadata view, and classes of length after them
+#: Bound of the labelled documents that are learnt from, chosen by the hash of their ids.
+MAX_LABELLED = 4_000
+#: Rounds; documents that a view labels in a round for the other, at most, of either class; how sure it must be.
 ROUNDS, PER_ROUND, SURE, HELD_OUT = 3, 300, 0.9, 0.25
 SEEN = 300_000  # remembered words of a partition; it only saves work
 
@@ -35,35 +41,37 @@ class _Hashed(dict):
         return h
 
 
+def layout(text: str) -> list[str]:
+    """Classes of a text's shares of capitals, digits, symbols and spaces, of repeated lines, and of its lines' length."""
+    n = max(1, len(text))
+    seen = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=128)[:128]
+    symbols = seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum()
+    lines = text.split("\n")
+    shares = {"upper": seen[65:91].sum() / n, "digit": seen[48:58].sum() / n, "symbol": symbols / n, "space": (seen[9:14].sum() + seen[32]) / n, "again": 1 - len(set(lines)) / len(lines)}
+    return [*(f"\n{k}{int(min(0.99, x) * 25)}" for k, x in shares.items()), f"\nline{int(np.log2(1 + n / len(lines)))}"]
+
+
 def text_view(text: str | None, hashed: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, word endings and repetitions of a whole text, with shares of all words (square roots) as values."""
+    """Hashed words, word endings, repetitions and layout of a whole text, with shares of all words (square roots) as values."""
     words = (text or "").split()
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.float16)
     find = hashed.__getitem__
     at = np.fromiter(map(find, words), np.int32, len(words))
     ends = np.fromiter(map(find, ["\n" + w[-2:] for w in words]), np.int32, len(words))
     again = np.full(int((at[1:] == at[:-1]).sum()), find("\nsame"), np.int32)  # words that repeat the one before
     old = np.full(len(at) - len(np.unique(at)), find("\nseen"), np.int32)  # words that occurred before
     index, count = np.unique(np.concatenate((at, ends, again, old)), return_counts=True)
-    value = np.sqrt(count / len(words))
-    return index.astype(np.int32), (value / np.sqrt((value * value).sum())).astype(np.float32)
+    form = np.array(sorted({find(x) for x in layout(text)}), np.int32)
+    new = form[~np.isin(form, index)]
+    value = np.concatenate((np.sqrt(count / len(words)), np.full(len(new), 0.2)))
+    return np.concatenate((index, new)).astype(np.uint16), (value / np.sqrt((value * value).sum())).astype(np.float16)
 
 
-def meta_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    """One-hot hashes of language and source, and numbers of length and layout."""
-    out = np.zeros(META + NUMBERS, np.float32)
-    for name, value in (("lang", lang), ("source", source)):
-        out[xxhash.xxh32_intdigest(f"{name}={value}".encode("utf-8", "surrogatepass")) % META] += 1
-    text = text or ""
-    n = max(1, len(text))
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    seen = np.bincount(raw, minlength=128)[:128]
-    upper, digit, space = seen[65:91].sum(), seen[48:58].sum(), seen[9:14].sum() + seen[32]
-    symbol = seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum()
-    lines = text.split("\n")
-    out[META:] = (1 - len(set(lines)) / len(lines), np.log1p(len(text)) / 10, upper / n * 4, digit / n * 4, symbol / n * 4, space / n * 2, np.log1p(seen[10]) / 4, np.log1p(n / (1 + seen[10])) / 8, 1)
-    return out
+def meta_view(lang: str | None, source: str | None, length: int | None) -> np.ndarray:
+    """Places of language, source and length class among the metadata's features; null is a value of its own."""
+    named = [xxhash.xxh32_intdigest(f"{k}={v}".encode("utf-8", "surrogatepass")) % META for k, v in (("lang", lang), ("source", source))]
+    return np.array([*named, META + (LENGTHS - 1 if length is None else min(LENGTHS - 2, int(max(0, length)).bit_length()))], np.uint16)
 
 
 class Sparse:
@@ -71,13 +79,13 @@ class Sparse:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.width = width
-        self.begin = np.concatenate(([0], np.cumsum([len(i) for i, _ in rows]))).astype(np.int64)
-        self.index = np.concatenate([*(i for i, _ in rows), np.zeros(0, np.int32)])
-        self.value = np.concatenate([*(v for _, v in rows), np.zeros(0, np.float32)]).astype(np.float64)
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.begin))
+        self.count = np.array([len(i) for i, _ in rows], np.int64)
+        self.index = np.concatenate([*(i for i, _ in rows), np.zeros(0, np.uint16)])
+        self.value = np.concatenate([*(v for _, v in rows), np.zeros(0, np.float16)]).astype(np.float64)
+        self.row = np.repeat(np.arange(len(rows)), self.count)
 
     def __len__(self) -> int:
-        return len(self.begin) - 1
+        return len(self.count)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.index], minlength=len(self))
@@ -101,6 +109,13 @@ class Dense:
         return self.rows.T @ g
 
 
+def view(number: int, rows: list) -> Sparse:
+    """The rows (text index, text value, meta places) as one view sees them: 0 the text, 1 the metadata."""
+    if number == 0:
+        return Sparse([(i, v) for i, v, _ in rows], WIDTH)
+    return Sparse([(m, np.full(len(m), 1.0)) for _, _, m in rows], META + LENGTHS)
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -140,127 +155,187 @@ class Model:
     """Both views' weights, their calibrations and the last regression; ``prior`` alone where nothing could be learnt."""
 
     prior: float
-    text: np.ndarray | None = None
-    meta: np.ndarray | None = None
+    views: list[np.ndarray] = field(default_factory=list)
     platt: list[tuple[float, float]] = field(default_factory=list)
     mix: np.ndarray | None = None
 
-    def logits(self, index: np.ndarray, value: np.ndarray, meta: np.ndarray) -> tuple[float, float]:
-        t = float(self.text[index] @ value) + self.text[-1]
-        m = float(self.meta[:-1] @ meta) + self.meta[-1]
-        return self.platt[0][0] * t + self.platt[0][1], self.platt[1][0] * m + self.platt[1][1]
+    def scores(self, rows: list) -> np.ndarray:
+        """Columns: calibrated probability of the text view, of the metadata view, and of both."""
+        if not self.views:
+            return np.full((len(rows), 3), self.prior)
+        t, m = (a * raw(view(v, rows), self.views[v]) + b for v, (a, b) in enumerate(self.platt))
+        return sigmoid(np.stack([t, m, self.mix[0] * t + self.mix[1] * m + self.mix[2]], axis=1))
+
 
+def raw(x, w: np.ndarray) -> np.ndarray:
+    return x.dot(w[:-1]) + w[-1]
 
-def cotrain(texts: list, metas: np.ndarray, y: np.ndarray, pool_texts: list, pool_metas: np.ndarray, *, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> Model:
-    """Fit a model from labelled rows (in random order) and an unlabelled pool."""
+
+#: What a round asks for: given both views' weights and the ids that each view has been taught, new documents as
+#: (view that is sure, id, label, row), the surest of each view and class.
+Offer = Callable[[list[np.ndarray], list[set]], list[tuple[int, str, int, tuple]]]
+
+
+def cotrain(ids: list[str], rows: list, y: np.ndarray, offer: Offer, *, rounds: int = ROUNDS) -> Model:
+    """Fit a model from labelled rows (in random order) and what each view offers the other."""
     if not len(y) or y.min() == y.max() or min((y > 0).sum(), (y <= 0).sum()) < 4:
         return Model(prior=float(y.mean()) if len(y) else 0.5)
     held = np.zeros(len(y), bool)
     for c in (0, 1):  # of either class the same share is held out
         own = np.flatnonzero((y > 0) == c)
         held[own[: max(1, int(len(own) * HELD_OUT))]] = True
-    learn = np.flatnonzero(~held)
-    all_texts, all_metas = [*texts, *pool_texts], np.concatenate((metas, pool_metas))
-    pool = np.arange(len(y), len(all_texts))
-    pool_sparse, pool_dense = Sparse(pool_texts, WIDTH), Dense(pool_metas)
-    taught = [dict.fromkeys(learn.tolist()) for _ in range(2)]  # what each view learns from; pseudo-labels are stored
-    for view in taught:
-        for k in view:
-            view[k] = float(y[k])
+    taught = [{ids[k]: (float(y[k]), 1.0, rows[k]) for k in np.flatnonzero(~held).tolist()} for _ in range(2)]
     fitted: list[np.ndarray] = [np.zeros(0)] * 2
     for r in range(rounds + 1):
         for v in range(2):
-            rows = np.fromiter(taught[v], np.int64)
-            target = np.fromiter(taught[v].values(), np.float64)
-            weight = np.where(rows < len(y), 1.0, 0.5)
-            x = Sparse([all_texts[k] for k in rows], WIDTH) if v == 0 else Dense(all_metas[rows])
-            fitted[v] = fit_logistic(x, target, weight)
-        if r == rounds or not len(pool):
+            target, weight, own = zip(*taught[v].values(), strict=True)
+            fitted[v] = fit_logistic(view(v, own), np.array(target), np.array(weight))
+        new = offer(fitted, [set(t) for t in taught]) if r < rounds else []
+        for v, name, label, row in new:
+            taught[1 - v].setdefault(name, (float(label), 0.5, row))
+        if not new:
             break
-        for v, x in ((0, pool_sparse), (1, pool_dense)):
-            p = sigmoid(x.dot(fitted[v][:-1]) + fitted[v][-1])
-            order = np.argsort(p, kind="stable")
-            for k, label in [*((k, 0.0) for k in order[:per_round] if p[k] < 1 - sure), *((k, 1.0) for k in order[::-1][:per_round] if p[k] > sure)]:
-                taught[1 - v].setdefault(int(pool[k]), label)
-    out = np.flatnonzero(held)
-    zt = Sparse([texts[k] for k in out], WIDTH).dot(fitted[0][:-1]) + fitted[0][-1]
-    zm = Dense(metas[out]).dot(fitted[1][:-1]) + fitted[1][-1]
-    platt = [fit_platt(z, y[out]) for z in (zt, zm)]
-    views = Dense(np.stack([platt[0][0] * zt + platt[0][1], platt[1][0] * zm + platt[1][1]], axis=1))
-    mix = fit_logistic(views, y[out].astype(float), np.ones(len(out)), steps=300, penalty=1e-2)
-    return Model(float(y.mean()), fitted[0], fitted[1], platt, mix)
-
-
-def _features(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """Features of a bounded choice of documents: id, index array, value array, meta array."""
+    out = [rows[k] for k in np.flatnonzero(held).tolist()]
+    zs = [raw(view(v, out), fitted[v]) for v in range(2)]
+    platt = [fit_platt(z, y[held]) for z in zs]
+    views = Dense(np.stack([a * z + b for z, (a, b) in zip(zs, platt, strict=True)], axis=1))
+    mix = fit_logistic(views, y[held].astype(float), np.ones(len(out)), steps=300, penalty=1e-2)
+    return Model(float(y.mean()), fitted, platt, mix)
+
+
+def surest(names: list, rows: list, fitted: list[np.ndarray], known: list[set], per_round: int, sure: float) -> list[tuple[int, int, float, str]]:
+    """Of some documents the surest of each view and class, but none that the other view was taught: (view, label, doubt, id)."""
+    out = []
+    for v in range(2):
+        p = sigmoid(raw(view(v, rows), fitted[v]))
+        fresh_to = np.array([n not in known[1 - v] for n in names], bool)
+        for label, doubt in ((0, p), (1, 1 - p)):
+            found = np.flatnonzero((doubt < 1 - sure) & fresh_to)
+            best = sorted((float(doubt[k]), names[k]) for k in found)[:per_round]
+            out += [(v, label, d, n) for d, n in best]
+    return out
+
+
+FEATURES = ("index", "value", "meta")
+
+
+def _rows(batch: pa.RecordBatch, first: int) -> list:
+    kinds = (np.uint16, np.float16, np.uint16)
+    return list(zip(*([np.frombuffer(x.as_buffer(), k) for x in batch.column(first + c)] for c, k in enumerate(kinds)), strict=True))
+
+
+def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars", carry: list[str] | None = None) -> DataFrame:
+    """Both views of every document, landed in the shared folder: the carried columns, ``id`` (string) and the views as
+    binary ``index``, ``value`` and ``meta``, under names that clash with no carried one (the last four columns)."""
+    keep = [c for c in docs.columns if carry is None or c in carry]
+    names = fresh(keep, "id", *FEATURES)
+    length = F.col(length_col).cast("long") if length_col in docs.columns else F.lit(None).cast("long")
+    read = [F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"), F.col(source_col).cast("string"), length]
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], *(c.alias(n) for c, n in zip(read, fresh(keep, "in_id", "in_text", "in_lang", "in_source", "in_length"), strict=True)))
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias(names[0]), *(F.lit(b"").alias(n) for n in names[1:])).schema
+    k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Hashed()
-        for batch in batches:
-            _, label, text, lang, source = (batch.column(k).to_pylist() for k in range(5))
-            views = [text_view(t, hashed) for t in text]
-            metas = [meta_view(*x) for x in zip(text, lang, source, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(label, pa.int32()), pa.array([i.tobytes() for i, _ in views], pa.binary()), pa.array([v.tobytes() for _, v in views], pa.binary()), pa.array([m.tobytes() for m in metas], pa.binary())],
-                names=["id", "label", "index", "value", "meta"],
-            )
+        for whole in batches:
+            for batch in pieces(whole, k + 1):
+                text, lang, source, size = (batch.column(k + c) for c in (1, 2, 3, 4))
+                texts = [text_view(t.as_py(), hashed) for t in text]
+                metas = [meta_view(*x).tobytes() for x in zip(lang.to_pylist(), source.to_pylist(), size.to_pylist(), strict=True)]
+                views = [pa.array([i.tobytes() for i, _ in texts], pa.binary()), pa.array([v.tobytes() for _, v in texts], pa.binary()), pa.array(metas, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(k + 1)] + views, names=[*keep, *names])
+            release_memory()
 
-    rows = docs.select("id", F.col("label").cast("int"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"), F.col(source_col).cast("string"))
-    return rows.mapInArrow(run, "id string, label int, index binary, value binary, meta binary")
+    target = scratch(docs.sparkSession, "views")
+    given.mapInArrow(run, schema).write.parquet(target)
+    return docs.sparkSession.read.parquet(target)
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality",
-    max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL,
-) -> Model:
-    """Fit on at most ``max_labelled`` labelled documents and ``max_pool`` unlabelled ones, those with the least md5 of their ids.
+def offers(seen: DataFrame, fitted: list[np.ndarray], known: list[set], *, per_round: int = PER_ROUND, sure: float = SURE) -> list[tuple[int, str, int, tuple]]:
+    """One round over all unlabelled documents in ``seen`` (id, index, value, meta): what each view is surest about.
 
-    Of several labels of a document the greatest counts; null labels and ids do not. Labels without a document do
-    not count either.
+    Every partition gives its own surest, ids and numbers only; their surest ``per_round`` of each view and class are
+    fetched with their features. Equal doubts go by id; of rows that repeat an id one counts.
     """
-    order = F.md5(F.col("id").cast("binary"))
+    weights = [w.astype(np.float32) for w in fitted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = surest(batch.column(0).to_pylist(), _rows(batch, 1), weights, known, per_round, sure)
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["view", "label", "doubt", "id"])
+
+    each = cut(seen.mapInArrow(run, "view int, label int, doubt double, id string").groupBy("view", "label", "id").agg(F.min("doubt").alias("doubt")))
+    picked = [r for v in (0, 1) for c in (0, 1) for r in each.filter((F.col("view") == v) & (F.col("label") == c)).orderBy("doubt", "id").limit(per_round).collect()]
+    if not picked:
+        return []
+    wanted = seen.sparkSession.createDataFrame([(n,) for n in sorted({r["id"] for r in picked})], "wanted string")
+    held: dict[str, tuple] = {}
+    for r in sorted(seen.join(F.broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi").collect(), key=lambda r: tuple(bytes(r[c]) for c in FEATURES)):
+        held.setdefault(r["id"], _row(r))
+    return [(r["view"], r["id"], r["label"], held[r["id"]]) for r in picked]
+
+
+def _row(r) -> tuple:
+    return np.frombuffer(r["index"], np.uint16), np.frombuffer(r["value"], np.float16), np.frombuffer(r["meta"], np.uint16)
+
+
+def fit_features(viewed: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, per_round: int = PER_ROUND) -> Model:
+    """``fit`` on the result of ``features``."""
+    names = viewed.columns[-4:]
+    seen = viewed.select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, ("id", *FEATURES), strict=True))).filter("id is not null")
     given = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
     given = given.groupBy("id").agg(F.max("label").alias("label"))
-    ids = docs.select(F.col(id_col).cast("string").alias("id")).dropna().distinct()
-    known = ids.join(given, "id", "left")
-    # Both choices are bounded, so they may be broadcast and their features collected.
-    chosen = known.filter("label is not null").orderBy(order).limit(max_labelled).union(known.filter("label is null").orderBy(order).limit(max_pool))
-    rows = docs.withColumn("id", F.col(id_col).cast("string")).drop("label") if "label" in docs.columns else docs.withColumn("id", F.col(id_col).cast("string"))
-    got = _features(rows.join(F.broadcast(chosen), "id"), text_col, lang_col, source_col).collect()
-    got = sorted(got, key=lambda r: xxhash.xxh64_hexdigest(r["id"].encode()) + r["id"])
-    once = {r["id"]: r for r in got}  # a repeated id is one labelled document
-    sparse = lambda r: (np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32))
-    with_label = [r for r in once.values() if r["label"] is not None]
-    without = [r for r in once.values() if r["label"] is None]
-    dense = lambda rs: np.stack([np.frombuffer(r["meta"], np.float32) for r in rs]) if rs else np.zeros((0, META + NUMBERS), np.float32)
-    y = np.array([1 if r["label"] > 0 else 0 for r in with_label])
-    return cotrain([sparse(r) for r in with_label], dense(with_label), y, [sparse(r) for r in without], dense(without))
-
-
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """Every document with ``text_score`` and ``meta_score`` (calibrated probabilities of either view), ``score`` and ``kept``.
+    found = given.join(seen.select("id").distinct(), "id", "left_semi")
+    # Bounded, so it may be broadcast and its features collected.
+    chosen = cut(found.orderBy(F.md5(F.col("id").cast("binary")), "id").limit(max_labelled).withColumnRenamed("id", "of"))
+    got = seen.join(F.broadcast(chosen), F.col("id") == F.col("of")).collect()
+    once = {}
+    for r in sorted(got, key=lambda r: (xxhash.xxh64_hexdigest(r["id"].encode()), r["id"], *(bytes(r[c]) for c in FEATURES))):
+        once.setdefault(r["id"], r)  # a repeated id is one labelled document
+    y = np.array([1 if r["label"] > 0 else 0 for r in once.values()])
+    rest = seen.join(F.broadcast(chosen), F.col("id") == F.col("of"), "left_anti")
+    return cotrain(list(once), [_row(r) for r in once.values()], y, lambda fitted, known: offers(rest, fitted, known, per_round=per_round))
 
-    ``kept``: score of 0.5 or more. A model that could not learn gives its prior everywhere. Columns of these names are
-    replaced; ``carry`` names the columns to keep (default: all). Null texts, languages and sources are scored as empty
-    text and as values of their own. Repeated rows are separate documents. Empty table: no rows.
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, per_round: int = PER_ROUND, **columns) -> Model:
+    """Fit on at most ``max_labelled`` labelled documents, those with the least md5 of their ids, and on all others as unlabelled ones.
+
+    Of several labels of a document the greatest counts; null labels and ids do not. Labels without a document do
+    not count either. Documents without an id are neither. ``columns``: the other columns' names, as of ``features``.
     """
-    own = ("text_score", "meta_score", "score", "kept")
-    keep = [c for c in docs.columns if (carry is None or c in carry) and c.lower() not in own]
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], *(F.lit(0.0).alias(c) for c in own[:3]), F.lit(True).alias("kept")).schema
-    needed = list(dict.fromkeys([*keep, text_col, lang_col, source_col]))
+    return fit_features(features(docs, id_col=id_col, carry=[], **columns), labels, id_col=id_col, label_col=label_col, max_labelled=max_labelled, per_round=per_round)
+
+
+OWN = ("text_score", "meta_score", "score", "kept")
+
+
+def _score(viewed: DataFrame, model: Model) -> DataFrame:
+    keep = [c for c in viewed.columns[:-4] if c.lower() not in OWN]
+    schema = viewed.select(*[F.col(f"`{c}`") for c in keep], *(F.lit(0.0).alias(c) for c in OWN[:3]), F.lit(True).alias("kept")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _Hashed()
         for batch in batches:
-            out = np.full((batch.num_rows, 3), model.prior)
-            if model.text is not None:
-                views = (batch.column(needed.index(c)) for c in (text_col, lang_col, source_col))
-                for k, (text, lang, source) in enumerate(zip(*views, strict=True)):
-                    text = text.as_py()
-                    t, m = model.logits(*text_view(text, hashed), meta_view(text, lang.as_py(), source.as_py()))
-                    both = model.mix[0] * t + model.mix[1] * m + model.mix[2]
-                    out[k] = sigmoid(np.array([t, m, both]))
+            out = model.scores(_rows(batch, len(keep)))
             columns = [pa.array(out[:, k]) for k in range(3)] + [pa.array(out[:, 2] >= 0.5)]
-            yield pa.RecordBatch.from_arrays([batch.column(needed.index(c)) for c in keep] + columns, names=[*keep, *own])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep))] + columns, names=[*keep, *OWN])
+
+    return viewed.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`") for c in viewed.columns[-3:]]).mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, *, carry: list[str] | None = None, **columns) -> DataFrame:
+    """Every document with ``text_score`` and ``meta_score`` (calibrated probabilities of either view), ``score`` and ``kept``.
+
+    ``kept``: score of 0.5 or more. A model that could not learn gives its prior everywhere. Columns of these names are
+    replaced; ``carry`` names the columns to keep (default: all). Null texts are scored as empty text; null languages,
+    sources and lengths, and a missing column of lengths, as values of their own. Repeated rows are separate documents.
+    Empty table: no rows. ``columns``: the other columns' names, as of ``features``.
+    """
+    return _score(features(docs, carry=[c for c in docs.columns if carry is None or c in carry], **columns), model)
+
 
-    return docs.select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(run, schema)
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", carry: list[str] | None = None, **columns) -> DataFrame:
+    """``fit`` and ``score`` over the same documents, whose texts are read once."""
+    viewed = features(docs, id_col=id_col, carry=carry, **columns)
+    return _score(viewed, fit_features(viewed, labels, id_col=id_col, label_col=label_col))

@@ -32,9 +32,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    model = cotraining.fit(docs, _read(spark, sf_dir, "labels"))
-    return cotraining.score(docs, model, carry=["doc_id"])
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    return cotraining.classify(docs, _read(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

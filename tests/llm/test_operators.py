@@ -270,6 +270,30 @@ def test_classifier_is_right_on_held_out_rows(spark):
     assert all(0 <= r[c] <= 1 for r in got for c in ("text_score", "meta_score", "score"))
 
 
+def test_a_round_offers_the_surest_of_all(spark):
+    """What the executors offer in a round is what sorting all unlabelled documents gives, known ones left out; views see their own columns only."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(5)
+    seen = cotraining.features(docs, carry=[])
+    held = {r["id"]: cotraining._row(r) for r in seen.collect()}
+    rng = np.random.default_rng(8)
+    fitted = [rng.normal(0, 3, cotraining.WIDTH + 1).astype(np.float32), rng.normal(0, 3, cotraining.META + cotraining.LENGTHS + 1).astype(np.float32)]
+    names = sorted(held)
+    known = [set(names[::7]), set(names[::5])]
+    expected = []
+    for v in range(2):
+        p = {n: float(cotraining.sigmoid(cotraining.raw(cotraining.view(v, [held[n]]), fitted[v]))[0]) for n in names}
+        for label in (0, 1):
+            doubt = {n: 1 - x if label else x for n, x in p.items() if n not in known[1 - v]}
+            expected += [(v, n, label) for n in sorted(doubt, key=lambda n: (doubt[n], n)) if doubt[n] < 1 - cotraining.SURE][:20]
+    got = cotraining.offers(seen, fitted, known, per_round=20)
+    assert {g[:3] for g in got} == set(expected) and len(got) == len(expected) > 20
+    assert all(all((a == b).all() for a, b in zip(row, held[n], strict=True)) for _, n, _, row in got)
+    row = docs.filter(F.col("doc_id") == docs.agg(F.min("doc_id")).first()[0])
+    other = cotraining.features(row.withColumn("text", F.lit("quite another TEXT 123")), carry=[]).first()
+    first = cotraining.features(row, carry=[]).first()
+    assert other["meta"] == first["meta"] and other["index"] != first["index"]
+
+
 def test_classifier_without_labels(spark):
     docs = odd_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
