@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, look_up, others, pieces, release_memory, small
+from .common import cut, fresh, look_up, others, pieces, release_memory, scratch, small
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Bits of the six blocks, in pairs: 5 or 6 segments each.
@@ -159,20 +159,27 @@ def spanning_links(fps: DataFrame, *, most: int = MOST) -> DataFrame:
     return edges.distinct()
 
 
+def _plain(numbers: DataFrame) -> DataFrame:
+    """``numbers`` as a table in the shared folder: a checkpoint keeps the estimated size, which joins multiply with every round."""
+    target = scratch(numbers.sparkSession, "labels")
+    numbers.write.parquet(target)
+    return numbers.sparkSession.read.schema(numbers.schema).parquet(target)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b), by min-label rounds with pointer jumping, each cut to the shared folder.
 
     Root: the least node of the component. In each round a node takes the least label among its
     neighbours' and its own, partial minima before the shuffle, then its label's label.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
+    both = _plain(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = _plain(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
     for _ in range(max_rounds):
-        offered = cut(look_up(both, "b", label, "node").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root")))
+        offered = _plain(look_up(both, "b", label, "node").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root")))
         # What a node is offered goes to its present root too (hooking), so that long chains close in few rounds.
         hooked = offered.join(label.withColumnRenamed("root", "old"), "node").select(F.col("old").alias("node"), "root")
-        best = cut(label.unionByName(offered).unionByName(hooked).groupBy("node").agg(F.min("root").alias("root")))
-        new = cut(look_up(best, "root", best.select(F.col("node").alias("at"), F.col("root").alias("further")), "at").select("node", F.col("further").alias("root")))
+        best = _plain(label.unionByName(offered).unionByName(hooked).groupBy("node").agg(F.min("root").alias("root")))
+        new = _plain(look_up(best, "root", best.select(F.col("node").alias("at"), F.col("root").alias("further")), "at").select("node", F.col("further").alias("root")))
         changed = new.join(label.withColumnRenamed("root", "old"), "node").filter("root != old")
         if changed.isEmpty():
             return new
