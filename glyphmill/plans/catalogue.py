@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import attacks, metadata, native, udfs
 from ..functions.security import Lexicon
-from ..functions.tables import load
+from ..functions.tables import HANGUL_FINAL, HANGUL_INITIAL, HANGUL_MEDIAL, load
+from ..functions.translit import Context
 from ..operators import datasets
 from . import presets
 from .text_column import TextCol
@@ -88,6 +89,7 @@ per_document("strip_invisible_rendering", lambda c: native.strip_invisible(_arou
 per_document("is_zalgo", lambda c: native.is_zalgo(F.concat(c, F.when(F.col("doc_id") % 2 == 0, F.lit("á\u0300\u0302\u0303")).otherwise(F.lit("á")))), "doc_id % 2 = 0")
 # Three marks a letter come in, the first two in canonical order stay.
 per_document("strip_zalgo", lambda c: native.strip_zalgo(attacks.zalgo(native.strip_accents(c))), r"nfc_normalize(regexp_replace(strip_accents(text), '(\p{L})', '\1' || chr(790) || chr(768), 'g'))")
+per_document("is_normalized_nfd", lambda c: native.is_normalized(c, "NFD"), "NOT regexp_matches(text, '[éóèñçüêäöíÉÓÈÑÇÜÊÄÖÍ]')")
 per_document("is_ascii", native.is_ascii, r"NOT regexp_matches(text, '[^\x00-\x7F]')")
 
 # 2. Transliteration
@@ -99,6 +101,37 @@ per_document("transliterate_cyrillic", lambda c: udfs.transliterate(F.concat(c,
 per_document("transliterate_iso9", lambda c: udfs.transliterate(F.concat(c, F.lit(" Юрий")), strict_iso9=True), _ROMAN + " || ' Jurij'")
 per_document("transliterate_gost7034", lambda c: udfs.transliterate(F.concat(c, F.lit(" хай")), gost7034=True), _ROMAN + " || ' xaj'")
 per_document("transliterate_tones", lambda c: udfs.transliterate(F.concat(c, F.lit(" 北")), tones=True), _ROMAN + " || ' běi'")
+
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+def _chosen(items, step: int = 1):
+    """One of the items by a document's id: a function that makes the column, and SQL."""
+    at = f"(doc_id // {step}) % {len(items)}"
+    return lambda: F.get(F.array(*map(F.lit, items)), F.expr(f"(doc_id div {step}) % {len(items)}").cast("int")), f"{_sql_list(items)}[CAST({at} AS INTEGER) + 1]"
+
+
+# Each document brings another syllable of the 11,172; the jamo follow from its number.
+_SYLLABLE = "(doc_id % 11172)"
+per_document(
+    "transliterate_hangul", lambda c: udfs.transliterate(F.concat(c, F.lit(" "), F.expr("decode(unhex(hex(44032 + doc_id % 11172)), 'UTF-16BE')"))),
+    f"{_ROMAN} || ' ' || {_sql_list(HANGUL_INITIAL)}[CAST({_SYLLABLE} // 588 AS INTEGER) + 1] || {_sql_list(HANGUL_MEDIAL)}[CAST({_SYLLABLE} % 588 // 28 AS INTEGER) + 1] || {_sql_list(HANGUL_FINAL)}[CAST({_SYLLABLE} % 28 AS INTEGER) + 1]",
+)
+# A consonant has the vowel a unless a vowel sign or a virama follows.
+_KA, _KA_SQL = _chosen(["क", "त", "प", "म", "न", "ल", "स"])
+_KA_ROMAN = _chosen(["k", "t", "p", "m", "n", "l", "s"])[1]
+_SIGN, _SIGN_SQL = _chosen(["", "ि", "े", "ो", "्"], 7)
+_SIGN_ROMAN = _chosen(["a", "i", "e", "o", ""], 7)[1]
+per_document("transliterate_indic", lambda c: udfs.transliterate(F.concat(c, F.lit(" "), _KA(), _SIGN(), F.lit("ता"))), f"{_ROMAN} || ' ' || {_KA_ROMAN} || {_SIGN_ROMAN} || 'ta'")
+per_document("transliterate_cjk", lambda c: udfs.transliterate(F.concat(c, F.lit(" 北京x"))), _ROMAN + " || ' bei jing x'")
+# The longest key at the leftmost place wins, before romanisation.
+per_document("transliterate_replacements", lambda c: udfs.transliterate(c, context=Context().register_replacements({"e": "3", "ee": "E"})), _ROMAN.replace("text", "replace(replace(text, 'ee', 'E'), 'e', '3')"))
+per_document("transliterate_registered", lambda c: udfs.transliterate(c, lang="xx", context=Context().register_lang("xx", {"é": "E1", "q": "k"})), _ROMAN.replace("text", "replace(replace(text, 'é', 'E1'), 'q', 'k')"))
+per_document("transliterate_strict", lambda c: udfs.transliterate(c, errors="strict"), _ROMAN)
+per_document("transliterate_preserve", lambda c: udfs.transliterate(F.concat(c, F.lit("\uE001")), errors="preserve"), _ROMAN + " || chr(57345)")
+per_document("transliterate_replace_with", lambda c: udfs.transliterate(F.concat(c, F.lit("\uE001")), replace_with="<?>"), _ROMAN + " || '<?>'")
 # Without h no two of the longer keys overlap, so replacing them one after another is the same.
 _REVERSED = "regexp_replace(text, '[hH]', '', 'g')"
 for _key, _native in (("Ts", "Ц"), ("ts", "ц"), ("TS", "Ц"), ("Yu", "Ю"), ("yu", "ю"), ("YU", "Ю"), ("Ya", "Я"), ("ya", "я"), ("YA", "Я"), ("Yo", "Ё"), ("yo", "ё"), ("YO", "Ё"), ("Ye", "Е"), ("ye", "е"), ("YE", "Е")):
@@ -217,12 +250,20 @@ def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.anomaly_counts(rows, "text")
 
 
-@query()
+@query("SELECT kind, n FROM (VALUES ('leet'), ('segmentation')) k(kind), (SELECT count(*) AS n FROM documents) WHERE n > 0")
 def anomaly_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" p4ssw0rd v.i.a.g.r.a")).alias("text"))
     return datasets.anomaly_counts(rows, "text", Lexicon.of(["password", "viagra"]))
 
 
+@query("SELECT ['bidi', 'zalgo', 'bidi_mixed', 'mixed_script'][CAST(doc_id % 4 AS INTEGER) + 1] AS kind, count(*) AS n FROM documents GROUP BY 1")
+def anomaly_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text ends in a token with an anomaly, by its id: an override, stacked marks, both directions, two scripts."""
+    tokens = ["ab\u202Ecd", "a" + "\u0316\u0300\u0315\u0301", "ab\u05D0\u05D1", "p\u0430ypal"]
+    token = F.get(F.array(*map(F.lit, tokens)), (F.col("doc_id") % 4).cast("int"))
+    return datasets.anomaly_counts(_docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), token).alias("text")), "text")
+
+
 # 7. Emoji, graphemes, width
 
 per_document("demojize", lambda c: udfs.demojize(F.concat(c, F.lit(" \U0001F525\U0001F600x"))), "text || ' fire grinning face x'")
@@ -230,6 +271,8 @@ per_document("grapheme_len", lambda c: native.grapheme_len(c).cast("long"), "len
 per_document("grapheme_truncate", lambda c: native.grapheme_truncate(c, 10), "left_grapheme(text, 10)")
 per_document("grapheme_split", lambda c: F.array_join(native.graphemes(c), "|"), "array_to_string(string_split(text, ''), '|')")
 per_document("terminal_width", lambda c: udfs.terminal_width(c).cast("long"), r"length(regexp_replace(text, '[\x00-\x1F]', '', 'g'))")
+per_document("terminal_width_wide", lambda c: udfs.terminal_width(F.concat(c, F.lit("漢字\U0001F600e\u0301"))).cast("long"), r"length(regexp_replace(text, '[\x00-\x1F]', '', 'g')) + 7")
+per_document("demojize_modifiers", lambda c: udfs.demojize(F.concat(c, F.lit(" \U0001F525\U0001F3FDx")), strip_modifiers=True), "text || ' fire x'")
 
 
 @query("SELECT DISTINCT ch, CAST(CASE WHEN ch < ' ' THEN 0 ELSE 1 END AS BIGINT) AS width FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch != ''")
@@ -245,9 +288,11 @@ _SLUG = f"trim(regexp_replace(lower({_ROMAN}), '[^a-z0-9]+', '-', 'g'), '-')"
 per_document("slugify", udfs.slugify, _SLUG)
 per_document("slugify_max_length", lambda c: udfs.slugify(c, max_length=40), f"rtrim(left({_SLUG}, 40), '-')")
 per_document("slugify_unicode", udfs.slugify_unicode, "trim(regexp_replace(lower(text), '[^a-z0-9éóèñçüêäößí]+', '-', 'g'), '-')")
-per_document("slugify_url", udfs.slugify_url)
+per_document("slugify_url", udfs.slugify_url, f"rtrim(left(array_to_string(list_filter(string_split({_SLUG}, '-'), lambda x: x NOT IN ('a', 'an', 'and', 'in', 'of', 'or', 'the', 'to')), '-'), 200), '-')")
 per_document("slugify_filename", udfs.slugify_filename, f"rtrim(left(trim(regexp_replace({_ROMAN}, '[^A-Za-z0-9.-]+', '_', 'g'), '_'), 255), '_')")
 per_document("slugify_de", udfs.slugify_de, f"trim(regexp_replace(lower({_GERMAN}), '[^a-z0-9]+', '-', 'g'), '-')")
+per_document("slugify_ru", lambda c: udfs.slugify_ru(F.concat(c, F.lit(" Москва"))), f"trim({_SLUG} || '-moskva', '-')")
+per_document("slugify_el", lambda c: udfs.slugify_el(F.concat(c, F.lit(" Νίκος"))), f"trim({_SLUG} || '-nikos', '-')")
 per_document("slugify_native", lambda c: native.slugify_ascii(native.strip_accents(F.replace(c, F.lit("ß"), F.lit("ss")))), _SLUG)
 per_document("sanitize_filename", udfs.sanitize_filename)
 per_document("sanitize_filename_stem", lambda c: udfs.sanitize_filename(c, platform="posix", preserve_extension=False), (
@@ -266,6 +311,7 @@ per_document("escape_html", native.escape_html, "replace(replace(replace(replace
 per_document("percent_encode", native.percent_encode, "url_encode(text)")
 per_document("percent_encode_form", lambda c: native.percent_encode(c, "form"), "replace(url_encode(text), '%20', '+')")
 per_document("percent_encode_path", lambda c: native.percent_encode(c, "path"), "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%24', '$'), '%26', '&'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%2B', '+'), '%2C', ','), '%3B', ';'), '%3D', '='), '%3A', ':'), '%40', '@'), '%2F', '/')")
+per_document("percent_encode_segment", lambda c: native.percent_encode(c, "segment"), ORACLE["percent_encode_path"].removeprefix("SELECT doc_id, replace(").removesuffix(", '%2F', '/') AS value FROM documents"))
 per_document("strip_log_injection", native.strip_log_injection, r"regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}\x{2028}\x{2029}]', chr(65533), 'g')")
 per_document("decode_to_utf8", lambda c: udfs.decode_to_utf8(F.encode(c, "ISO-8859-1"), encoding="latin1")["text"], "text")
 per_document("detect_encoding", lambda c: udfs.detect_encoding(F.encode(c, "UTF-8"))["encoding"], "'UTF-8'")
@@ -314,7 +360,9 @@ def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.cer_wer(rows, "text", "out").select("cer")
 
 
-@query()
+# A word with such a letter is one that changes; words do not join or part.
+@query(r"""SELECT CAST(sum(length(regexp_replace(text, '[^éóèñçüêäöíßÉÓÈÑÇÜÊÄÖÍ]', '', 'g')) + length(regexp_replace(text, '[^ß]', '', 'g'))) AS DOUBLE) / sum(length(text)) AS cer,
+  CAST(sum(len(regexp_extract_all(text, '[^\s]*[éóèñçüêäöíßÉÓÈÑÇÜÊÄÖÍ][^\s]*'))) AS DOUBLE) / sum(len(regexp_extract_all(text, '[^\s]+'))) AS wer FROM benchmark""")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "benchmark").select("text", udfs.transliterate("text").alias("out"))
     return datasets.cer_wer(rows, "text", "out")
