@@ -11,7 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,10 +134,54 @@ def is_confusable(tables: Tables, target_script: str = "latin"):
     return lambda s: K.is_confusable(s, table), FLAG
 
 
-@_takes_tables
-def find_unmapped_confusables(tables: Tables, target_script: str = "latin"):
-    missing = frozenset(map(ord, K.unmapped_confusables(tables, target_script)))
-    return lambda s: [{"ch": c, "byte_offset": at} for c, at in K.find_unmapped(s, missing)], SPAN
+#: Bytes of text whose hits are held at once.
+PIECE_BYTES = 1 << 20
+
+
+def _pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """``texts`` in slices of whole rows, of about ``limit`` bytes each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // limit
+    stops = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for begin, stop in zip([0, *stops], stops, strict=False):
+        yield texts.slice(begin, stop - begin)
+
+
+def _unmapped_spans(texts: pa.Array, missing: np.ndarray) -> pa.Array:
+    """``kernels.find_unmapped`` on a column, by arrays; ``missing`` says it for each code point."""
+    filled = pc.fill_null(texts.cast(pa.string()), "")
+    _, ends, data = filled.buffers()
+    ends = np.frombuffer(ends, np.int32)[filled.offset : filled.offset + len(filled) + 1] if len(filled) else np.zeros(1, np.int32)
+    data = bytes(data[int(ends[0]) : int(ends[-1])]) if data else b""
+    ends = ends - ends[0]
+    points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+    hit = missing[points]
+    at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[hit].astype(np.int32)
+    found = points[hit]
+    rows = np.searchsorted(at, ends).astype(np.int32)
+    widths = 1 + (found > 0x7F).astype(np.int32) + (found > 0x7FF) + (found > 0xFFFF)
+    chars = pa.StringArray.from_buffers(len(found), pa.py_buffer(np.concatenate(([0], np.cumsum(widths))).astype(np.int32)), pa.py_buffer(found.tobytes().decode("utf-32-le").encode()))
+    spans = pa.StructArray.from_arrays([chars, pa.array(at - np.repeat(ends[:-1], np.diff(rows)), pa.int32())], names=["ch", "byte_offset"])
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), spans, mask=texts.is_null())
+
+
+def _unmapped_batches(batches: Iterator[pa.Array], gaps: list[int]) -> Iterator[pa.Array]:
+    missing = np.zeros(0x110000, bool)
+    missing[gaps] = True
+    for batch in batches:
+        for piece in _pieces(batch):
+            yield _unmapped_spans(piece, missing)
+
+
+def find_unmapped_confusables(c: Column | str, target_script: str = "latin", spark: SparkSession | None = None) -> Column:
+    """Confusable characters that the target's table does not map. Any character of a text may be one, so the spans stay in Arrow and go out by slices."""
+    gaps = sorted(map(ord, K.unmapped_confusables(load(_session(spark)), target_script)))
+
+    def on_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _unmapped_batches(batches, gaps)
+
+    on_batches.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(on_batches, SPAN)(F.col(c) if isinstance(c, str) else c)
 
 
 @_takes_tables

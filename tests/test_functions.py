@@ -1,7 +1,9 @@
 """Scalar functions against literal pairs and properties."""
 
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -116,6 +118,23 @@ def test_confusables(tables):
         tables.confusables("greek")
 
 
+def test_find_unmapped_by_slices(spark, tables):
+    missing = K.unmapped_confusables(tables)
+    wide, gaps = missing[-1], [*map(ord, missing)]
+    texts = [None, "", "zé" + wide + "\U0001F600ß" + wide * 2, "z", "z\U0001F600" + wide]
+    want = [None if x is None else K.find_unmapped(x, frozenset(gaps)) for x in texts]
+    assert want[2] == [(wide, 3), (wide, 9 + len(wide.encode())), (wide, 9 + 2 * len(wide.encode()))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r.v for r in df.select("id", udfs.find_unmapped_confusables("text").alias("v")).orderBy("id").collect()]
+    assert [None if v is None else [tuple(x) for x in v] for v in got] == want
+    batch = pa.array([wide * 50_000] * 100)  # five million spans: more than a gigabyte as Python objects
+    tracemalloc.start()
+    spans = [len(part.values) for part in udfs._unmapped_batches(iter([batch]), gaps)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(spans) == 5_000_000 and max(spans) <= 1_000_000 and peak < 100e6
+
+
 @pytest.mark.parametrize(("host", "suspicious", "whole"), [
     ("аррӏе.com", True, [True, False]), ("яндекс.ру", True, [False, True]), ("example.com", False, [False, False]), ("[::1]", False, []), ("xn--80ak6aa92e.com", True, [True, False]), ("pаypal.com", True, [False, False]),
 ])
