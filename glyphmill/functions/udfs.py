@@ -278,11 +278,11 @@ def slugify_el(c, **options) -> Column:
 
 
 @_takes_tables
-def sanitize_filename(tables: Tables, separator: str = "_", max_length: int = 255, platform: str = "universal", lang: str | None = None, preserve_extension: bool = True):
+def sanitize_filename(tables: Tables, separator: str = "_", max_length: int = 255, platform: str = "universal", lang: str | None = None, preserve_extension: bool = True, default: str = "_"):
     if platform not in K.PLATFORMS:
         raise ValueError(f"platform must be one of {', '.join(K.PLATFORMS)}; got {platform!r}")
     romanizer = Romanizer(tables, lang, "ignore", "")
-    return lambda s: K.sanitize_filename(s, romanizer, separator, max_length, platform, preserve_extension), TEXT
+    return lambda s: K.sanitize_filename(s, romanizer, separator, max_length, platform, preserve_extension, default), TEXT
 
 
 @_takes_tables

@@ -3,6 +3,8 @@
 import tracemalloc
 import unicodedata
 
+import duckdb
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import context, kernels as K, metadata, native, security, udfs
 from glyphmill.functions.translit import Context, Reverser, Romanizer, Untranslatable, check_lang, inspect_auto_lang
-from glyphmill.plans import presets as P
+from glyphmill.plans import catalogue, presets as P
 
 TEXT = st.text(max_size=40)
 QUICK = settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -209,6 +211,15 @@ def test_filenames_are_safe(tables, s, platform):
         assert out.split(".")[0].upper() not in K.RESERVED
 
 
+def test_sanitize_filename_stem_as_its_sql(spark, tmp_path):
+    texts = [None, "", " ", ".", "..", "\n. .", "_", "/_", "._", "._.\n", ". _ .\n.x", "_a", "/ _\t_a_ .", "._a", "_.a", "a", "..a..b. ", "é_" * 200, "_" * 300 + "ab ", "a." * 127 + " .b"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    documents.to_parquet(tmp_path / "documents.parquet")
+    got = {r.doc_id: r.value for r in catalogue.QUERIES["sanitize_filename_stem"](spark, str(tmp_path)).collect()}
+    assert got == dict(duckdb.sql(catalogue.ORACLE["sanitize_filename_stem"]).fetchall())
+    assert got[0] is None and got[1] == got[3] == "" and got[11] == "a"
+
+
 @pytest.mark.parametrize(("text", "expected"), [("🔥", "fire"), ("😀", "grinning face"), ("a🔥b", "a fire b"), ("👍🏽", "thumbs up: medium skin tone"), ("🇫🇷", "flag: FR"), ("1️⃣", "keycap: 1"), ("☕", "hot beverage"), ("plain", "plain")])
 def test_demojize(text, expected):
     assert K.demojize(text) == expected
