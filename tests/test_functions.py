@@ -93,6 +93,18 @@ def test_registry(tables):
         c.register_lang("zz", {"ab": "x"})
 
 
+def test_registered_ascii_counts_in_every_text(spark, tables, tmp_path):
+    named = lambda mapping: Romanizer(tables, "xx", context=Context().register_lang("xx", mapping))
+    one = named({"é": "E1", "q": "k"})
+    assert [one(s) for s in ("que", "qué", "Q", "", "北q", "ق q")] == ["kue", "kuE1", "Q", "", "bei k", "q k"]
+    assert [named({"q": "k", "k": "q"})(s) for s in ("qk", "qké")] == ["kq", "kqe"] and named({"q": ""})("aqb") == "ab"
+    texts = [None, "", "Ouque une", "éq", "Queso qÉß", "q\nq"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    documents.to_parquet(tmp_path / "documents.parquet")
+    got = {r.doc_id: r.value for r in catalogue.QUERIES["transliterate_registered"](spark, str(tmp_path)).collect()}
+    assert got == dict(duckdb.sql(catalogue.ORACLE["transliterate_registered"]).fetchall())
+
+
 @pytest.mark.parametrize(("text", "lang", "reason"), [
     ("Привет", "ru", "script_default"), ("Київ", "uk", "discriminator"), ("ђак", "sr", "discriminator"), ("گل", "fa", "discriminator"), ("Straße", "de", "latin_discriminator"),
     ("hello", None, "no_detection"), ("สวัสดี", "th", "unambiguous_script"), ("ｓａ", None, "no_detection"),
