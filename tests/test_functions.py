@@ -132,6 +132,13 @@ def test_confusables(tables):
         tables.confusables("greek")
 
 
+def test_only_sources_are_unmapped(tables):
+    """What the Cyrillic table maps is no source of UTS 39 for that."""
+    missing = K.unmapped_confusables(tables)
+    assert [c for c in missing if c.isascii()] == ["%", "0", "1", "I", "m"]
+    assert K.find_unmapped("hello yom", frozenset(map(ord, missing))) == [("m", 8)]
+
+
 def test_find_unmapped_by_slices(spark, tables):
     missing = K.unmapped_confusables(tables)
     wide, gaps = missing[-1], [*map(ord, missing)]
